@@ -19,8 +19,8 @@ from .common import map_batches, with_only
 #: (host, path, verdict): fixed values of the contract.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Terms with weights: strict ones weigh 1, soft ones less; MIN_SOFT different soft ones reject.
-STRICT = {"porn": 1.0, "xxx": 1.0, "hentai": 1.0, "escort": 1.0, "malware": 1.0, "phishing": 1.0, "warez": 1.0}
-SOFT = {"adult": 0.5, "sex": 0.5, "nude": 0.5, "casino": 0.5, "betting": 0.5, "poker": 0.4, "viagra": 0.5, "torrent": 0.4, "crack": 0.4, "dating": 0.3}
+STRICT = {t: 1.0 for t in ("porn", "xxx", "hentai", "escort", "adult", "casino", "malware", "phishing", "warez", "viagra")}
+SOFT = {t: 0.5 for t in ("ads", "bet", "bets", "betting", "cheap", "click", "crack", "dating", "farm", "free", "loan", "nude", "pills", "poker", "popup", "sex", "spam", "torrent", "track", "tracker", "win", "x")}
 MIN_SOFT = 2
 
 
