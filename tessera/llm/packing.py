@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored, with_only
-from .tokens import ChunkEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 1024, 2
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 2, 4, 4
@@ -166,12 +166,12 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     def make():
         from pyspark import TaskContext
 
-        encoder, end = ChunkEncoder(path, "byte"), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, "byte").encode, np.array([end_id], "<u4").tobytes()
         task, ranks = TaskContext.get().partitionId(), Counter()
 
         def kernel(c):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "rank")}
-            for d, ids in zip(c["doc_id"], encoder.encode(c["text"])):
+            for d, ids in zip(c["doc_id"], encode(c["text"])):
                 ids = memoryview(ids + end)
                 for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                     for k, v in zip(out, (d, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), task, ranks[n])):

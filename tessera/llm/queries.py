@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from . import packing, rans, urls
+from . import language, packing, quality, rans, toxicity, urls
 from .common import table
 
 
+def op2_langid(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_rans(spark, sf_dir):
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_outliers(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -18,5 +30,5 @@ def op9_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_rans, op8_pack, op9_urls)}
+QUERIES = {f.__name__: f for f in (op2_langid, op4_toxicity, op5_rans, op7_outliers, op8_pack, op9_urls)}
 ORACLES: dict[str, str] = {}

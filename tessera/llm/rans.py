@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, shared_dir, stored, with_only
-from .tokens import ChunkEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 SCALE, LOW = 20, 1 << 31
 LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 128, 262_144
@@ -133,10 +133,10 @@ def tokenize(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
     """doc_id, ids (binary, little-endian uint16 or uint32 by ``wide``), crc, n of whole texts, each with the end id."""
 
     def make():
-        encoder, end = ChunkEncoder(path, kind), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, kind).encode, np.array([end_id], "<u4").tobytes()
 
         def kernel(c):
-            ids = [x + end for x in encoder.encode(c["text"])]
+            ids = [x + end for x in encode(c["text"])]
             yield {"doc_id": c["doc_id"], "ids": [narrow(x) for x in ids], "crc": [zlib.crc32(x) for x in ids], "n": [len(x) // 4 for x in ids]}
 
         return kernel

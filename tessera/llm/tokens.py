@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -80,3 +81,9 @@ class ChunkEncoder:
         self._learn(set(chain.from_iterable(c for c in cuts if c is not None)))
         get = self.young.__getitem__
         return [b"".join(map(get, c)) if c is not None else next(whole_ids) if t else b"" for t, c in zip(texts, cuts)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str) -> ChunkEncoder:
+    """One encoder for all tasks that a Python worker runs, with what it remembers."""
+    return ChunkEncoder(path, kind)
