@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality, rans, toxicity, urls
+from . import fmindex, jaccard, language, packing, quality, rans, secrets, toxicity, urls, wrappers
 from .common import table
 
 
+def op1_wrappers(spark, sf_dir):
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_langid(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,6 +26,11 @@ def op5_rans(spark, sf_dir):
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_fmindex(spark, sf_dir):
+    d = fmindex.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.drop("spans", "items")
+
+
 def op7_outliers(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -30,5 +43,9 @@ def op9_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_langid, op4_toxicity, op5_rans, op7_outliers, op8_pack, op9_urls)}
+def op10_jaccard(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_wrappers, op2_langid, op3_secrets, op4_toxicity, op5_rans, op6_fmindex, op7_outliers, op8_pack, op9_urls, op10_jaccard)}
 ORACLES: dict[str, str] = {}
