@@ -197,16 +197,20 @@ def families(pre: DataFrame, percent: int = PERCENT) -> DataFrame:
     base = F.expr(f"n - ceil({percent} * n / 100D) + 1").cast("long")
     level = F.greatest(F.lit(1), F.col("pos") - base + 2).cast("int")
     own = rows.groupBy("sig", "n").agg(F.collect_set(F.struct(level.alias("level"), "token", "df", "hub")).alias("t"))
+
+    def within(k):  # a lambda of two arguments would get the index as the second
+        return F.filter("t", lambda x: x["level"] <= k)
+
     #: What meeting a document costs, and what verifying one costs beside that.
     costs = []
     for k in range(1, MOST_L + 1):
-        met_by = F.aggregate(F.filter("t", lambda x, k=k: x["level"] <= k), F.lit(0).cast("bigint"), lambda a, x: a + x["df"])
+        met_by = F.aggregate(within(k), F.lit(0).cast("bigint"), lambda a, x: a + x["df"])
         costs.append(F.when(F.lit(k) <= F.ceil(F.col("n") * percent / F.lit(100.0)), F.struct((met_by * (1 + (F.col("n") / 50 + 4) / k)).alias("cost"), F.lit(k).alias("l"))))
     own = own.withColumn("l", F.array_min(F.array_compact(F.array(*costs)))["l"])
     own = own.withColumn("t", F.filter("t", lambda x: x["level"] <= F.col("l")))
     enough = F.lit(False)
     for k in range(1, MOST_L + 1):
-        enough = enough | ((F.lit(k) <= F.col("l")) & (F.size(F.filter("t", lambda x, k=k: x["level"] <= k)) >= k))
+        enough = enough | ((F.lit(k) <= F.col("l")) & (F.size(within(k)) >= k))
     own = own.filter(enough)
     tokens = F.transform("t", lambda x: F.struct(x["token"].alias("token"), x["level"].alias("level")))
     return own.select(F.explode(F.array_distinct(F.transform("t", lambda x: x["hub"]))).alias("hub"), "sig", "n", "l", tokens.alias("tokens"))
