@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers ``f(spark, sf_dir)``; without ``sql`` the query is checked by tests instead."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import detection, embedding, evaluation, graphs, patterns, texts, walking  # noqa: F401  each registers its queries
+
+
+_load()
