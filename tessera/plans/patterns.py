@@ -160,11 +160,11 @@ def whitespace(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"[ \t\n\r\f]", " "), "  ", " ").alias("v"))
 
 
-@query("literal_search_and", KG + "SELECT s, o FROM kg WHERE p = 'label' AND list_contains(string_split_regex(lower(o), '[^a-z]+'), 'green') AND list_contains(string_split_regex(lower(o), '[^a-z]+'), 'part') ORDER BY s LIMIT 100")
+@query("literal_search_and", KG + "SELECT s, o FROM kg WHERE p = 'label' AND list_contains(string_split_regex(lower(o), '[^a-z]+'), 'red') AND list_contains(string_split_regex(lower(o), '[^a-z]+'), 'bolt') ORDER BY s LIMIT 100")
 def literal_search(spark, d):
     words = F.split(F.lower("o"), "[^a-z]+")
     t = catalog(spark, d, ("label",)).select("s", "o", words.alias("w"))
-    return t.filter(F.array_contains("w", "green") & F.array_contains("w", "part")).orderBy("s").limit(100).select("s", "o")
+    return t.filter(F.array_contains("w", "red") & F.array_contains("w", "bolt")).orderBy("s").limit(100).select("s", "o")
 
 
 @query("context_search", "SELECT doc_id, score FROM (SELECT doc_id, CAST(list_contains(w, 'the') AS BIGINT) + CAST(list_contains(w, 'and') AS BIGINT) AS score FROM (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM documents) WHERE list_contains(w, 'of')) ORDER BY score DESC, doc_id LIMIT 500")
