@@ -190,30 +190,34 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
 
 
 def families(pre: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """hub, sig, n, l, tokens (with the least l at which each is in the prefix) of all that may have a candidate."""
+    """hub, sig, n, l, tokens, levels (the least l at which each is in the prefix) of all that may have a candidate."""
     each = pre.filter("n > 0").select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
     met = each.groupBy("token").agg(F.count("*").alias("df"), F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").drop("top")
     rows = each.join(met.hint("shuffle_hash"), "token")
-    base = F.expr(f"n - ceil({percent} * n / 100D) + 1").cast("long")
-    level = F.greatest(F.lit(1), F.col("pos") - base + 2).cast("int")
-    own = rows.groupBy("sig", "n").agg(F.collect_set(F.struct(level.alias("level"), "token", "df", "hub")).alias("t"))
-
-    def within(k):  # a lambda of two arguments would get the index as the second
-        return F.filter("t", lambda x: x["level"] <= k)
-
-    #: What meeting a document costs, and what verifying one costs beside that.
-    costs = []
-    for k in range(1, MOST_L + 1):
-        met_by = F.aggregate(within(k), F.lit(0).cast("bigint"), lambda a, x: a + x["df"])
-        costs.append(F.when(F.lit(k) <= F.ceil(F.col("n") * percent / F.lit(100.0)), F.struct((met_by * (1 + (F.col("n") / 50 + 4) / k)).alias("cost"), F.lit(k).alias("l"))))
-    own = own.withColumn("l", F.array_min(F.array_compact(F.array(*costs)))["l"])
-    own = own.withColumn("t", F.filter("t", lambda x: x["level"] <= F.col("l")))
-    enough = F.lit(False)
-    for k in range(1, MOST_L + 1):
-        enough = enough | ((F.lit(k) <= F.col("l")) & (F.size(within(k)) >= k))
-    own = own.filter(enough)
-    tokens = F.transform("t", lambda x: F.struct(x["token"].alias("token"), x["level"].alias("level")))
-    return own.select(F.explode(F.array_distinct(F.transform("t", lambda x: x["hub"]))).alias("hub"), "sig", "n", "l", tokens.alias("tokens"))
+    own = rows.groupBy("sig", "n").agg(F.collect_set(F.struct("pos", "token", "df", "hub")).alias("t"))
+
+    def part(name):
+        return F.transform("t", lambda x: x[name]).alias(name)
+
+    def make():
+        def kernel(c):
+            out = {k: [] for k in ("sig", "n", "l", "hubs", "tokens", "levels")}
+            for sig, n, pos, token, df, hub in zip(*[c[k] for k in ("sig", "n", "pos", "token", "df", "hub")]):
+                level = np.maximum(1, np.array(pos) - (n - required(n, percent) + 1) + 2)
+                df, most = np.array(df, float), min(MOST_L, required(n, percent))
+                met_by = [df[level <= k].sum() for k in range(1, most + 1)]
+                #: Meeting a document costs 1, verifying one n / 50 + 4; at most met_by / l are verified.
+                l = 1 + int(np.argmin([x * (1 + (n / 50 + 4) / k) for k, x in enumerate(met_by, 1)]))
+                keep = np.flatnonzero(level <= l)
+                if any((level <= k).sum() >= k for k in range(1, l + 1)):
+                    for k, v in zip(out, (sig, n, l, sorted({hub[x] for x in keep}), [token[x] for x in keep], level[keep].tolist())):
+                        out[k].append(v)
+            yield out
+
+        return kernel
+
+    chosen = map_batches(own.select("sig", "n", *map(part, ("pos", "token", "df", "hub"))), make, "sig long, n long, l int, hubs array<long>, tokens array<long>, levels array<int>", text=None)
+    return stored(chosen).select(F.explode("hubs").alias("hub"), "sig", "n", "l", "tokens", "levels")
 
 
 def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -261,7 +265,7 @@ def with_candidates(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
             both, found = np.minimum(l[:, None], l), np.zeros(fits.shape, bool)
             if fits.any():
                 for k in np.unique(both[fits]):
-                    shared = overlaps([[t["token"] for t in ts if t["level"] <= k] for ts in c["tokens"]])
+                    shared = overlaps([[t for t, x in zip(ts, ls) if x <= k] for ts, ls in zip(c["tokens"], c["levels"])])
                     found |= fits & (both == k) & (shared >= k)
             at = np.flatnonzero(found.any(1))
             return {k: [c[k][x] for x in at] for k in ("hub", "i", "j", "mine", "sig")}
