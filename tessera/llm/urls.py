@@ -20,7 +20,7 @@ from .common import map_batches, with_only
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Terms with weights: strict ones weigh 1, soft ones less; MIN_SOFT different soft ones reject.
 STRICT = {t: 1.0 for t in ("porn", "xxx", "hentai", "escort", "adult", "casino", "malware", "phishing", "warez", "viagra")}
-SOFT = {t: 0.5 for t in ("ads", "bet", "bets", "betting", "cheap", "click", "crack", "dating", "farm", "free", "loan", "nude", "pills", "poker", "popup", "sex", "spam", "torrent", "track", "tracker", "win", "x")}
+SOFT = {t: 0.5 for t in ("ads", "bet", "bets", "betting", "cheap", "click", "crack", "dating", "farm", "free", "loan", "nude", "pills", "poker", "popup", "sex", "spam", "torrent", "track", "tracker", "win")}
 MIN_SOFT = 2
 
 
