@@ -48,7 +48,7 @@ def pairwise(p: DataFrame, how: str = "add") -> DataFrame:
     w = Window.partitionBy("doc_id", "sf", "entity", "sf2").orderBy(F.desc("sim"), "entity2")
     b = p.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
     votes = b.select("doc_id", "sf", "entity", "sim").unionAll(b.select("doc_id", F.col("sf2").alias("sf"), F.col("entity2").alias("entity"), "sim"))
-    s = votes.groupBy("doc_id", "sf", "entity").agg(F.round(COMBINE[how](F.col("sim")), 4).alias("score")).filter("score > 0")
+    s = votes.groupBy("doc_id", "sf", "entity").agg(F.round(COMBINE[how](F.col("sim")), 6).alias("score")).filter("score > 0")
     w = Window.partitionBy("doc_id", "sf").orderBy(F.desc("score"), "entity")
     return s.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 

@@ -52,7 +52,7 @@ def most_similar_topk(spark, d):
 
 
 def _pairwise_sql(fold):
-    return "WITH " + C.format(k=6) + ", " + P + f", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sf, entity, sf2 ORDER BY sim DESC, entity2) AS r FROM p) WHERE r = 1), votes AS (SELECT doc_id, sf, entity, sim FROM b UNION ALL SELECT doc_id, sf2, entity2, sim FROM b), s AS (SELECT doc_id, sf, entity, round({fold}, 4) AS score FROM votes GROUP BY 1, 2, 3) SELECT doc_id, sf, entity, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sf ORDER BY score DESC, entity) AS r FROM s WHERE score > 0) WHERE r = 1"
+    return "WITH " + C.format(k=6) + ", " + P + f", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sf, entity, sf2 ORDER BY sim DESC, entity2) AS r FROM p) WHERE r = 1), votes AS (SELECT doc_id, sf, entity, sim FROM b UNION ALL SELECT doc_id, sf2, entity2, sim FROM b), s AS (SELECT doc_id, sf, entity, round({fold}, 6) AS score FROM votes GROUP BY 1, 2, 3) SELECT doc_id, sf, entity, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sf ORDER BY score DESC, entity) AS r FROM s WHERE score > 0) WHERE r = 1"
 
 
 for _how, _fold in (("occurrence", "CAST(count(sim) AS DOUBLE)"), ("max", "max(sim)"), ("add", "sum(sim)"), ("square", "sum(sim * sim)")):

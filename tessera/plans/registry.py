@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from ..shipping import ship
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -12,7 +15,12 @@ def query(name: str, sql: str | None = None):
     """Registers ``f(spark, sf_dir)``; without ``sql`` the query is checked by tests instead."""
 
     def add(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f

@@ -20,7 +20,7 @@ def duck():
 
 
 def norm(v):
-    return round(v, 5) if isinstance(v, float) and not math.isnan(v) else v
+    return round(v, 9) if isinstance(v, float) and not math.isnan(v) else v
 
 
 def rows(columns, data):
