@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows are handed to the kernels in groups of about so many characters, to bound a worker's memory.
 CHUNK_CHARS = 4_000_000
 
@@ -69,6 +71,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], It
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     return df.mapInArrow(run, schema)
 
