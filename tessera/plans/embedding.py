@@ -22,9 +22,9 @@ C = "c AS (SELECT doc_id, sf, entity, vec FROM (SELECT vec_id % 5 AS doc_id, lab
 P = "p AS MATERIALIZED (SELECT a.doc_id AS doc_id, a.sf AS sf, a.entity AS entity, b.sf AS sf2, b.entity AS entity2, round(" + _sim("a.vec", "b.vec") + ", 6) AS sim FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.sf <> b.sf)"
 
 
-def _clusters(spark, d, k):
+def _clusters(spark, d, k, forms=1 << 30):
     e = table(spark, d, "embeddings")
-    return E.clusters(e.select((F.col("vec_id") % 5).alias("doc_id"), F.col("label").cast("long").alias("sf"), F.col("vec_id").alias("entity"), F.col("embedding").alias("vec")), k)
+    return E.clusters(e.select((F.col("vec_id") % 5).alias("doc_id"), (F.col("label") % forms).cast("long").alias("sf"), F.col("vec_id").alias("entity"), F.col("embedding").alias("vec")), k)
 
 
 @query("cosine_pairs", "WITH " + C.format(k=3) + ", " + P + " SELECT doc_id, entity, entity2, sim FROM p WHERE sim >= 0.2")
@@ -81,10 +81,11 @@ def sub_pagerank_naive(spark, d):
     return E.sub_pagerank(E.pairs(c), c, threshold=0.25, normalised=True).select("doc_id", "sf", "entity", F.round("pr", 6).alias("pr"))
 
 
-@query("greedy_optimal", "WITH c AS (SELECT doc_id, sf, entity, vec FROM (SELECT vec_id % 5 AS doc_id, label AS sf, vec_id AS entity, embedding AS vec, row_number() OVER (PARTITION BY vec_id % 5, label ORDER BY vec_id) AS r FROM embeddings WHERE label < 3) WHERE r <= 4), t AS (SELECT x.doc_id AS doc_id, x.entity AS e0, y.entity AS e1, z.entity AS e2, round(" + _sim("x.vec", "y.vec") + ", 6) + round(" + _sim("x.vec", "z.vec") + ", 6) + round(" + _sim("y.vec", "z.vec") + ", 6) AS s FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.sf = 0 AND y.sf = 1 JOIN c z ON x.doc_id = z.doc_id AND z.sf = 2) SELECT doc_id, e0, e1, e2, round(s, 5) AS total FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 5) DESC, e0, e1, e2) AS r FROM t) WHERE r = 1")
+@query("greedy_optimal", "WITH c AS (SELECT doc_id, sf, entity, vec FROM (SELECT vec_id % 5 AS doc_id, label % 3 AS sf, vec_id AS entity, embedding AS vec, row_number() OVER (PARTITION BY vec_id % 5, label % 3 ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 4), t AS (SELECT x.doc_id AS doc_id, x.entity AS e0, y.entity AS e1, z.entity AS e2, round(" + _sim("x.vec", "y.vec") + ", 6) + round(" + _sim("x.vec", "z.vec") + ", 6) + round(" + _sim("y.vec", "z.vec") + ", 6) AS s FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.sf = 0 AND y.sf = 1 JOIN c z ON x.doc_id = z.doc_id AND z.sf = 2) SELECT doc_id, e0, e1, e2, round(s, 5) AS total FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 5) DESC, e0, e1, e2) AS r FROM t) WHERE r = 1")
 def greedy_optimal(spark, d):
-    """The best of all combinations of three forms of at most four candidates: the cap is the operator's parameter."""
-    c = _clusters(spark, d, 4)
+    """The best of all combinations of the first four candidates of three forms (labels modulo 3): the operator is
+    exponential in the forms, and how many candidates of each it takes is its parameter."""
+    c = _clusters(spark, d, 4, 3)
     x, y, z = (c.filter(F.col("sf") == k).select("doc_id", F.col("entity").alias(f"e{k}"), F.col("vec").alias(f"v{k}")) for k in range(3))
     sims = [F.round(E.similarity(F.col(a), F.col(b)), 6) for a, b in (("v0", "v1"), ("v0", "v2"), ("v1", "v2"))]
     t = x.join(y, "doc_id").join(z, "doc_id").select("doc_id", "e0", "e1", "e2", F.round(sims[0] + sims[1] + sims[2], 5).alias("total"))

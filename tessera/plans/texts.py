@@ -33,13 +33,13 @@ def tokens_window2(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(F.array_compact(pairs)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
-@query("tokens_unbounded", f"SELECT doc_id, CAST(i AS INTEGER) AS first, CAST(j AS INTEGER) AS last, array_to_string(w[i:j], ' ') AS span FROM (SELECT doc_id, {WORDS}[1:8] AS w FROM documents), range(1, 9) a(i), range(1, 9) b(j) WHERE i <= j AND j <= len(w)")
+@query("tokens_unbounded", f"SELECT item_id, CAST(i AS INTEGER) AS first, CAST(j AS INTEGER) AS last, array_to_string(w[i:j], ' ') AS span FROM (SELECT item_id, {WORDS} AS w FROM benchmark), range(1, 1000) a(i), range(1, 1000) b(j) WHERE i <= j AND j <= len(w)")
 def tokens_unbounded(spark, d):
-    """All spans of the first eight words of each document; the window is the operator's parameter."""
-    w = table(spark, d, "documents").select("doc_id", F.slice(T.tokens(F.col("text")), 1, 8).alias("w")).filter(F.size("w") > 0)
-    i = w.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("first"))
-    j = i.select("doc_id", "w", "first", F.explode(F.sequence(F.col("first"), F.size("w"))).alias("last"))
-    return j.select("doc_id", "first", "last", F.array_join(F.slice("w", F.col("first"), F.col("last") - F.col("first") + 1), " ").alias("span"))
+    """All spans of words of short texts; their number is the square of a text's length."""
+    w = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    i = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("first"))
+    j = i.select("item_id", "w", "first", F.explode(F.sequence(F.col("first"), F.size("w"))).alias("last"))
+    return j.select("item_id", "first", "last", F.array_join(F.slice("w", F.col("first"), F.col("last") - F.col("first") + 1), " ").alias("span"))
 
 
 @query("stopword_filter", f"SELECT doc_id, array_to_string(list_filter({WORDS}, lambda t: NOT list_contains({STOP}, t) AND NOT list_contains({STOP}, lower(t))), ' ') AS words FROM documents")
