@@ -1,7 +1,7 @@
 """Token ids of whole texts by public tokenizers, with a bounded memory of chunks that were met before.
 
 Both tokenizers split a text before merging, and never merge across the cuts made here, so the ids of a text are
-the concatenated ids of its chunks. Texts with white space outside ASCII's four usual characters, or with a
+the concatenated ids of its chunks. Latin-1 texts are cut just as the tokenizers do it, others at white space. Texts with white space outside ASCII's four usual characters, or with a
 ``<|``, go to the tokenizer whole.
 """
 
@@ -18,8 +18,16 @@ import numpy as np
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\\|")
 BYTE_CHUNK = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?=[ \t\n\r][^ \t\n\r])|[ \t\n\r]+")
 WORD_CHUNK = re.compile(r"[^ \t\n\r]+")
-#: By kind of tokenizer: how texts are cut, and what stands between chunks that are encoded together.
-KINDS = {"byte": (BYTE_CHUNK, "\n"), "word": (WORD_CHUNK, " ~ ")}
+#: The tokenizers' own cuts, with the letters and numbers of Latin-1 spelled out; for the second one in lower case.
+SMALL, DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+BIG = "A-ZÀ-ÖØ-Þ" + SMALL
+ENDS = "'(?:s|t|re|ve|m|ll|d)"
+LATIN_BYTE = re.compile(rf"{ENDS}| ?[{BIG}]+| ?[{DIGITS}]+| ?[^\s{BIG}{DIGITS}]+|\s+(?!\S)|\s+")
+LATIN_WORD = re.compile(rf"{ENDS}|[{SMALL}]+|[{DIGITS}]|[^\s{SMALL}{DIGITS}]+")
+#: White space beside the usual four characters, in Latin-1.
+RARE_BYTES = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+#: By kind of tokenizer: how Latin-1 texts and how others are cut, and what stands between chunks that are encoded together.
+KINDS = {"byte": (LATIN_BYTE, BYTE_CHUNK, "\n"), "word": (LATIN_WORD, WORD_CHUNK, " ~ ")}
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,13 +40,14 @@ def tokenizer_path(name: str) -> str:
 class ChunkEncoder:
     """Encodes texts to little-endian uint32 ids, as bytes. At most 2 * ``generation`` chunks are remembered."""
 
-    def __init__(self, path: str, kind: str, generation: int = 250_000):
+    def __init__(self, path: str, kind: str, generation: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.between = KINDS[kind]
+        self.latin, self.cut, self.between = KINDS[kind]
+        self.lower = kind == "word"
         self.generation, self.young, self.old = generation, {}, {}
         mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         assert len(mark) == 1
@@ -74,8 +83,20 @@ class ChunkEncoder:
         if hard:
             young.update(zip(hard, self._plain(hard)))
 
+    def chunks(self, text: str | None) -> list[str] | None:
+        """The chunks of a text; None if it is empty or goes whole."""
+        if not text:
+            return None
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None if RARE.search(text) else self.cut.findall(text)
+        if b"<|" in raw or len(raw.translate(None, RARE_BYTES)) != len(raw):
+            return None
+        return self.latin.findall(text.lower() if self.lower else text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.cut.findall(t) if t and not RARE.search(t) else None for t in texts]
+        cuts = [self.chunks(t) for t in texts]
         whole = [t for t, c in zip(texts, cuts) if c is None and t]
         whole_ids = iter(self._plain(whole) if whole else ())
         self._learn(set(chain.from_iterable(c for c in cuts if c is not None)))
