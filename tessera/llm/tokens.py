@@ -48,6 +48,9 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.latin, self.cut, self.between = KINDS[kind]
         self.lower = kind == "word"
+        #: Ids that end a word (word tokenizer) or begin with a space (byte tokenizer).
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.edge[[i for t, i in self.tokenizer.get_vocab().items() if (t.endswith("</w>") if self.lower else t.startswith("Ġ"))]] = True
         self.generation, self.young, self.old = generation, {}, {}
         mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         assert len(mark) == 1
@@ -65,6 +68,16 @@ class ChunkEncoder:
         data, at = ids.tobytes(), [0, *((ends + 1) * 4).tolist()]
         return [data[a : b - 4] for a, b in zip(at, [*at[1:], len(data) + 4])]
 
+    def _glued(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that are cut apart by their own ids: words, or runs that begin with their only space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.lower else "").join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(chunks):
+            return self._joined(chunks)
+        data = ids.tobytes()
+        at = [0, *((at + 1) * 4).tolist()] if self.lower else [*(at * 4).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
     def _learn(self, chunks: set[str]) -> None:
         if len(self.young) > self.generation:
             self.old, self.young = self.young, {}
@@ -75,11 +88,17 @@ class ChunkEncoder:
             else:
                 young[c] = ids
         sign = self.between.strip() or self.between
-        easy, hard = [], []
+        glued, easy, hard = [], [], []
         for c in new:
-            (easy if sign not in c and not c.isspace() else hard).append(c)
-        for i in range(0, len(easy), 512):
-            young.update(zip(easy[i : i + 512], self._joined(easy[i : i + 512])))
+            if c.isalpha() and c.islower() if self.lower else c[0] == " " and c[1:].isalpha():
+                glued.append(c)
+            elif sign not in c and not c.isspace():
+                easy.append(c)
+            else:
+                hard.append(c)
+        for kind, encode in ((glued, self._glued), (easy, self._joined)):
+            for i in range(0, len(kind), 512):
+                young.update(zip(kind[i : i + 512], encode(kind[i : i + 512])))
         if hard:
             young.update(zip(hard, self._plain(hard)))
 
