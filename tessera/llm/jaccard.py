@@ -7,7 +7,7 @@ document chooses its l by the estimated cost of its candidates: a longer prefix
 more shared shingles are asked for, so fewer are verified; a pair is held to the smaller l of the two.
 
 Shingles in two or more different sets give families: all that share the shingle's least signature. Every candidate
-pair is in a family. A family is split into blocks, and each pair of blocks is compared in one task, first by
+pair is in a family, and left to the first of those that it is in. A family is split into blocks, and each pair of blocks is compared in one task, first by
 counts of shared prefix shingles, then, for documents that have candidates, by whole sets read again from the
 texts. Only a forest of verified links leaves a task. No family, bucket or partner is cut off.
 
@@ -190,7 +190,7 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
 
 
 def families(pre: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """hub, sig, n, l, tokens, levels (the least l at which each is in the prefix) of all that may have a candidate."""
+    """hub, sig, n, l, all its hubs, tokens, levels (the least l at which each is in the prefix) of all that may have a candidate."""
     each = pre.filter("n > 0").select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
     met = each.groupBy("token").agg(F.count("*").alias("df"), F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").drop("top")
     rows = each.join(met.hint("shuffle_hash"), "token")
@@ -217,7 +217,7 @@ def families(pre: DataFrame, percent: int = PERCENT) -> DataFrame:
         return kernel
 
     chosen = map_batches(own.select("sig", "n", *map(part, ("pos", "token", "df", "hub"))), make, "sig long, n long, l int, hubs array<long>, tokens array<long>, levels array<int>", text=None)
-    return stored(chosen).select(F.explode("hubs").alias("hub"), "sig", "n", "l", "tokens", "levels")
+    return stored(chosen).select(F.explode("hubs").alias("hub"), "sig", "n", "l", "hubs", "tokens", "levels")
 
 
 def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -262,6 +262,7 @@ def with_candidates(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
         def kernel(c):
             n, l = np.array(c["n"], np.int64), np.array(c["l"])
             fits = _across(c) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+            fits &= overlaps([[h for h in hs if h < c["hub"][0]] for hs in c["hubs"]]) == 0  # a pair is its first family's
             both, found = np.minimum(l[:, None], l), np.zeros(fits.shape, bool)
             if fits.any():
                 for k in np.unique(both[fits]):
