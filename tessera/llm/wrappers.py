@@ -289,12 +289,11 @@ def induce(pages: DataFrame, hold: int = 2_000) -> DataFrame:
                         v = view(parse(x)) if name == "html" else json.loads(x)
                         held[host] = merge(held[host], v) if host in held else v
                     if len(held) > hold:
-                        yield self.out()
+                        yield self.out(keep=int(name == "wrapper"))  # sorted by host: the last one may go on in the next chunk
 
-                def out(self):
-                    out = {"host": list(held), "wrapper": [json.dumps(v, separators=(",", ":")) for v in held.values()]}
-                    held.clear()
-                    return out
+                def out(self, keep=0):
+                    hosts = list(held)[: len(held) - keep]
+                    return {"host": hosts, "wrapper": [json.dumps(held.pop(h), separators=(",", ":")) for h in hosts]}
 
                 def close(self):
                     return (self.out(),)
@@ -304,8 +303,7 @@ def induce(pages: DataFrame, hold: int = 2_000) -> DataFrame:
         return make
 
     parts = map_batches(pages.filter("html is not null").select("host", "html"), folded("html"), "host string, wrapper string", text="html")
-    merged = map_batches(parts.repartition("host").sortWithinPartitions("host", "wrapper"), folded("wrapper"), "host string, wrapper string", text="wrapper")
-    return merged.groupBy("host").agg(F.max("wrapper").alias("wrapper"))  # one a host, unless a task held many hosts
+    return map_batches(parts.repartition("host").sortWithinPartitions("host", "wrapper"), folded("wrapper"), "host string, wrapper string", text="wrapper")
 
 
 @lru_cache(maxsize=64)

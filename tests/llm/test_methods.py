@@ -1,6 +1,7 @@
 """Each method against a brute-force version, an exact round trip or held-out accuracy."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -230,6 +231,18 @@ def test_wrapper_of_unmarked_pages():
     assert wrappers.extract(pages[2], w) == "T2\nText 2 & more words to read here"
 
 
+def test_wrappers_of_more_hosts_than_are_held(spark):
+    rows = [(h * 100 + i, f"http://h{h}.org/{i}", f"<body><p>page {i} of {h}</p></body>") for h in range(5) for i in range(1 + 3 * h)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", wrappers.host_of())
+        got = [(r["host"], json.loads(r["wrapper"])[1]) for r in wrappers.induce(pages, hold=0).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert sorted(got) == [(f"h{h}.org", 1 + 3 * h) for h in range(5)]
+
+
 def components_by_brute_force(texts):
     s = {}
     for d, t in texts.items():
