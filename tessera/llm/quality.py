@@ -4,7 +4,9 @@ Each text gives counts (words, characters, symbols, repeated lines and word wind
 ratios. For each (lang, source) the minimum covariance determinant estimate is found over all its documents: from
 medians and quartile ranges, C-steps keep the share H of documents nearest to the current centre and estimate
 anew; a last step weighs in all within the 97.5 % ellipsoid. All steps are aggregations, so a source of any size
-is spread over tasks. Documents beyond CUT by squared Mahalanobis distance are rejected. Groups of under MIN_ROWS
+is spread over tasks. Documents beyond CUT by squared Mahalanobis distance are rejected. To a group's covariance each
+document adds the variance that its own counts have as samples (``errors``), so that one repeated line of three is no
+outlier where others have none, and 30 of 90 are. Groups of under MIN_ROWS
 documents share their language's estimate, and small languages one of all.
 
 Nulls: a null text has no words (base_failed); a null lang or source is a group of its own. Repeated rows count one
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored, with_only
 
 DIMS = 5
-#: The least spread that a statistic is given, so that a source where it hardly varies doesn't reject all others.
-FLOOR = (0.5, 0.08, 0.04, 0.14, 0.18)
+#: Words that one repeated window of three adds at least: its own and those of the one it repeats.
+CLUMP = 6
 H, STEPS, MIN_ROWS = 0.75, 3, 60
 #: Chi-squared quantiles for 5 dimensions: of one half, of 0.975, and of 1 - 1e-6.
 MEDIAN, INNER, CUT = 4.351, 12.833, 36.0
@@ -78,16 +80,23 @@ def vectors(s: dict[str, list[int]], n_lines: list[int]) -> list[list[float]]:
     return v.round(9).tolist()
 
 
+def errors(s: dict[str, list[int]], n_lines: list[int]) -> list[list[float]]:
+    """Sampling variance of each entry of ``vectors``: of the log of a count 1 / n, of the log of a mean word length
+    (lengths spread by half their mean) 1 / 4n, and of the root of a share 1 / 4n, times the size of its clumps."""
+    n, chars, lines = (np.maximum(1, np.array(x, float)) for x in (s["n_words"], s["word_chars"], n_lines))
+    return np.stack([1 / n, 0.25 / n, 0.25 / chars, 0.25 / lines, 0.25 * CLUMP / n], 1).tolist()
+
+
 def measure(docs: DataFrame) -> DataFrame:
     def make():
         def kernel(c):
             s = statistics(c["text"])
-            v = vectors(s, [(t or "").count("\n") + 1 for t in c["text"]])
-            yield {"doc_id": c["doc_id"], "lang": c["lang"], "source": c["source"]} | s | {"v": v}
+            n_lines = [(t or "").count("\n") + 1 for t in c["text"]]
+            yield {"doc_id": c["doc_id"], "lang": c["lang"], "source": c["source"]} | s | {"v": vectors(s, n_lines), "err": errors(s, n_lines)}
 
         return kernel
 
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in STATS) + ", v array<double>"
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in STATS) + ", v array<double>, err array<double>"
     return map_batches(with_only(docs, doc_id="long", lang="string", source="string", text="string"), make, schema)
 
 
@@ -104,17 +113,17 @@ def grouped(m: DataFrame) -> DataFrame:
 
 
 def _moments() -> list:
-    x = [F.col("v")[i] for i in range(DIMS)]
+    x = [F.col("x")[i] for i in range(DIMS)]
     return [F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(f"s{i}") for i, a in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]]
 
 
 def _estimate(moments: DataFrame) -> DataFrame:
-    """Centre and inverse covariance of each group from its sums; the rows are groups, not documents."""
+    """Centre and covariance of each group from its sums; the rows are groups, not documents."""
     names = moments.columns
 
     def make():
         def kernel(c):
-            out = {"g_lang": c["g_lang"], "g_source": c["g_source"], "centre": [], "inverse": []}
+            out = {"g_lang": c["g_lang"], "g_source": c["g_source"], "centre": [], "cov": []}
             for r in range(len(c["n"])):
                 n = c["n"][r]
                 mean = np.array([c[f"s{i}"][r] for i in range(DIMS)]) / n
@@ -123,31 +132,47 @@ def _estimate(moments: DataFrame) -> DataFrame:
                     for j in range(i, DIMS):
                         cov[i, j] = cov[j, i] = c[f"s{i}{j}"][r] / n - mean[i] * mean[j]
                 scale = c["scale"][r] if "scale" in names else 1.0
-                cov = cov * max(scale or 1.0, 0.2) + np.diag(np.square(FLOOR))
                 out["centre"].append(mean.tolist())
-                out["inverse"].append(np.linalg.inv(cov).ravel().tolist())
+                out["cov"].append((cov * max(scale or 1.0, 0.2)).ravel().tolist())
             yield out
 
         return kernel
 
-    return map_batches(moments, make, "g_lang string, g_source string, centre array<double>, inverse array<double>", text=None)
+    return map_batches(moments, make, "g_lang string, g_source string, centre array<double>, cov array<double>", text=None)
+
+
+def _distances(d: DataFrame) -> DataFrame:
+    """d (v, err, centre, cov, and others) with d2 in place of these: the squared distance, null without a centre."""
+    rest = [f for f in d.schema.fields if f.name not in ("v", "err", "centre", "cov")]
+    names = [f.name for f in rest]
 
+    def make():
+        def kernel(c):
+            at = [k for k, x in enumerate(c["centre"]) if x is not None]
+            d2 = [None] * len(c["centre"])
+            if at:
+                v, err, centre, cov = (np.array([c[n][k] for k in at], float) for n in ("v", "err", "centre", "cov"))
+                both, off = cov.reshape(-1, DIMS, DIMS), v - centre
+                both[:, range(DIMS), range(DIMS)] += err
+                for k, x in zip(at, (off * np.linalg.solve(both, off[:, :, None])[:, :, 0]).sum(1).tolist()):
+                    d2[k] = x
+            yield {n: c[n] for n in names} | {"d2": d2}
+
+        return kernel
 
-def _distance():
-    d = [F.col("v")[i] - F.col("centre")[i] for i in range(DIMS)]
-    return sum((d[i] * d[j] * F.col("inverse")[i * DIMS + j] * (1 if i == j else 2) for i in range(DIMS) for j in range(i, DIMS)), F.lit(0.0))
+    return map_batches(d, make, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", d2 double", text=None)
 
 
 def estimate(m: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The groups' centres and inverse covariances. m: g_lang, g_source, v, of all documents that pass the rules."""
+    """The groups' centres and covariances. m: g_lang, g_source, v, err, of all documents that pass the rules."""
     keys = ["g_lang", "g_source"]
     quartiles = m.groupBy(*keys).agg(*[F.percentile_approx(F.col("v")[i], [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(DIMS)])
     centre = F.array(*[F.col(f"q{i}")[1] for i in range(DIMS)])
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2 for i in range(DIMS)]
-    inverse = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)])
-    params = stored(quartiles.select(*keys, centre.alias("centre"), inverse.alias("inverse")))
+    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) for i in range(DIMS)]
+    cov = F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)])
+    params = stored(quartiles.select(*keys, centre.alias("centre"), cov.alias("cov")))
     for step in range(steps + 1):
-        d = m.join(params, keys).withColumn("d2", _distance())
+        d = _distances(m.withColumn("x", F.col("v")).join(params, keys))
         marks = stored(d.groupBy(*keys).agg(F.percentile_approx("d2", [0.5, H], 10_000).alias("q")))
         d = d.join(marks, keys)
         if step < steps:
@@ -164,7 +189,7 @@ def judge(docs: DataFrame) -> DataFrame:
     m = measure(docs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     m = stored(grouped(stored(m.withColumn("base_failed", failed).withColumn("fit", ~failed))))
-    params = estimate(m.filter("fit").select("g_lang", "g_source", "v"))
-    judged = m.join(params, ["g_lang", "g_source"], "left").withColumn("distance", F.when(F.col("centre").isNotNull(), F.round(_distance(), 6)))
+    params = estimate(m.filter("fit").select("g_lang", "g_source", "v", "err"))
+    judged = _distances(m.join(params, ["g_lang", "g_source"], "left")).withColumn("distance", F.round("d2", 6))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
     return judged.select("doc_id", *STATS, "base_failed", kept.alias("kept"), "distance")

@@ -209,6 +209,17 @@ def test_outliers(spark):
     assert not any(got[1000 + i] for i in range(10)) and sum(got[i] for i in range(200)) >= 198
 
 
+def test_outliers_in_a_source_that_hardly_varies(spark):
+    rng = random.Random(2)
+    lines = lambda n: [" ".join("word%02d" % rng.randrange(60) for _ in range(8)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(40))) for i in range(200)]
+    rows += [(1000 + i, "\n".join(lines(40)).replace("word1", "wor#1").replace("word2", "wor$2")) for i in range(5)]
+    rows += [(2000 + i, "\n".join((x := lines(26)) + x[:14])) for i in range(5)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[k + i] for k in (1000, 2000) for i in range(5))
+    assert sum(got[i] for i in range(200)) >= 198
+
+
 def test_urls(spark):
     rows = [(1, "http://m.casino-win.example.org/fr/1"), (2, "http://free-bets.example.org/x"), (3, "http://free.example.org/x"), (4, "http://casinos.example.org/"), (5, "https://a.COM/en/1?x"), (6, "http://example.net/de/81"), (7, "http://q.net/de/8"), (8, "http://notcom/en/")]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
