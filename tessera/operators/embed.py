@@ -66,7 +66,7 @@ def sub_pagerank(p: DataFrame, all_: DataFrame, rounds: int = 5, threshold: floa
     return pr.drop("base")
 
 
-def hill_climb(c: DataFrame, repeats: int = 20, seed: int = 1337, continuous: bool = False) -> DataFrame:
+def hill_climb(c: DataFrame, repeats: int = 500, seed: int = 1337, continuous: bool = False) -> DataFrame:
     """doc_id, sf, entity, score: seeded hill-climbing over one choice for each form of a document.
 
     Each restart moves a form to the candidate nearest to another chosen one if the sum of similarities doesn't fall;
@@ -76,6 +76,15 @@ def hill_climb(c: DataFrame, repeats: int = 20, seed: int = 1337, continuous: bo
     def climb(vecs: list[np.ndarray], rng) -> np.ndarray:
         unit = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in vecs]
         votes = [np.zeros(len(v)) for v in vecs]
+        known: dict[tuple[int, int, int], tuple[list[float], int]] = {}
+
+        def near(i: int, j: int, k: int) -> tuple[list[float], int]:
+            """Similarities of form i's candidates to candidate k of form j, and the nearest one."""
+            if (found := known.get((i, j, k))) is None:
+                sims = np.abs(unit[i] @ unit[j][k])
+                found = known[i, j, k] = sims.tolist(), int(np.argmax(sims))
+            return found
+
         for _ in range(repeats):
             pick = [int(rng.integers(len(v))) for v in vecs]
             for _ in range(200):
@@ -83,10 +92,11 @@ def hill_climb(c: DataFrame, repeats: int = 20, seed: int = 1337, continuous: bo
                 for _ in range(max(1, min(20, int(len(vecs) ** 0.5)))):
                     for i in rng.permutation(len(vecs)):
                         j = int((i + 1 + rng.integers(len(vecs) - 1)) % len(vecs))
-                        new = int(np.argmax(np.abs(unit[i] @ unit[j][pick[j]])))
-                        rest = np.stack([unit[k][pick[k]] for k in range(len(vecs)) if k != i])
-                        if np.abs(rest @ unit[i][new]).sum() >= np.abs(rest @ unit[i][pick[i]]).sum():
-                            pick[i] = new
+                        new = near(i, j, pick[j])[1]
+                        if new != pick[i]:
+                            rest = [near(i, k, pick[k])[0] for k in range(len(vecs)) if k != i]
+                            if sum(x[new] for x in rest) >= sum(x[pick[i]] for x in rest):
+                                pick[i] = new
                 if pick == old:
                     break
             for i, k in enumerate(pick):
