@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df in the folder that the cluster shares (spark.checkpoint.dir, or a temporary one in tests) and reads it again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import stored
 
 
 def nodes(edges: DataFrame) -> DataFrame:
