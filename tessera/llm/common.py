@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import shared_dir, stored  # noqa: F401  the operators take them from here
 
 #: Rows are handed to the kernels in groups of about so many characters, to bound a worker's memory.
 CHUNK_CHARS = 4_000_000
@@ -20,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the storage that driver and executors share: under spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it again with the same schema."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     """True where crc32 of the id as text leaves 0; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -77,5 +59,52 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], It
 
 
 def with_only(df: DataFrame, **columns: str) -> DataFrame:
-    """Selects the named columns as name=type; a column that is absent is null. Extra columns are left out."""
-    return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in columns.items()])
+    """Selects the named columns as name=type. A name is met as it is spelt, else without regard to case; a column
+    that is absent is an error. Extra columns, whatever their names, are left out."""
+    names = df.columns
+
+    def at(name: str) -> int:
+        same = [i for i, x in enumerate(names) if x == name] or [i for i, x in enumerate(names) if x.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"the input has no column {name!r}, only {names}")
+        return same[0]
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).select(*[F.col(f"c{at(n)}").cast(t).alias(n) for n, t in columns.items()])
+
+
+def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
+    """One kernel call for all rows of each key, over sorted partitions."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    ship(df.sparkSession)
+    arrow, names = to_arrow_schema(_parse_datatype_string(schema)), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel, held, now, out = make(), {n: [] for n in names}, None, {n: [] for n in arrow.names}
+
+        def give(rows):
+            for k, v in kernel(rows).items():
+                out[k] += v
+
+        for batch in batches:
+            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
+            key = list(zip(*[cols[k] for k in keys]))
+            a = 0
+            for b in range(1, len(key) + 1):
+                if b == len(key) or key[b] != key[a]:
+                    if now is not None and key[a] != now:
+                        give(held)
+                        held = {n: [] for n in names}
+                    now = key[a]
+                    for n in names:
+                        held[n] += cols[n][a:b]
+                    a = b
+            if len(out[arrow.names[0]]) > 10_000:
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                out = {n: [] for n in arrow.names}
+        if now is not None:
+            give(held)
+        yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

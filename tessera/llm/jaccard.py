@@ -17,15 +17,13 @@ doc_id is kept, and takes part in the component of its text. Repeated rows share
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, with_only
+from .common import map_batches, map_groups, stored, with_only
 
 WORDS, PERCENT = 5, 80
 #: Most shared shingles that are asked for; documents in a block; known frequent shingles (only the order depends on them).
@@ -152,43 +150,6 @@ def prefixes(docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataF
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, sig long, n long, prefix array<long>")
 
 
-def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """One kernel call for all rows of each key, over sorted partitions."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow, names = to_arrow_schema(_parse_datatype_string(schema)), df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, held, now, out, size = make(), {n: [] for n in names}, None, {n: [] for n in arrow.names}, 0
-
-        def give(rows):
-            for k, v in kernel(rows).items():
-                out[k] += v
-
-        for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
-            key = list(zip(*[cols[k] for k in keys]))
-            a = 0
-            for b in range(1, len(key) + 1):
-                if b == len(key) or key[b] != key[a]:
-                    if now is not None and key[a] != now:
-                        give(held)
-                        held = {n: [] for n in names}
-                    now = key[a]
-                    for n in names:
-                        held[n] += cols[n][a:b]
-                    a = b
-            if len(out[arrow.names[0]]) > 10_000:
-                yield pa.RecordBatch.from_pydict(out, schema=arrow)
-                out = {n: [] for n in arrow.names}
-        if now is not None:
-            give(held)
-        yield pa.RecordBatch.from_pydict(out, schema=arrow)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def families(pre: DataFrame, percent: int = PERCENT) -> DataFrame:
     """hub, sig, n, l, all its hubs, tokens, levels (the least l at which each is in the prefix) of all that may have a candidate."""
     each = pre.filter("n > 0").select("sig", "n", F.posexplode("prefix").alias("pos", "token"))

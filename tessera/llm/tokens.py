@@ -1,8 +1,9 @@
 """Token ids of whole texts by public tokenizers, with a bounded memory of chunks that were met before.
 
 Both tokenizers split a text before merging, and never merge across the cuts made here, so the ids of a text are
-the concatenated ids of its chunks. Latin-1 texts are cut just as the tokenizers do it, others at white space. Texts with white space outside ASCII's four usual characters, or with a
-``<|``, go to the tokenizer whole.
+the concatenated ids of its chunks. Latin-1 texts are cut just as the tokenizers do it, others at white space.
+Texts with white space outside ASCII's four usual characters, or with a ``<|``, go to the tokenizer whole, so that
+the names of special tokens in a text become what the library makes of them (their ids).
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.latin, self.cut, self.between = KINDS[kind]
         self.lower = kind == "word"
         #: Ids that end a word (word tokenizer) or begin with a space (byte tokenizer).
