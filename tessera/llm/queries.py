@@ -40,7 +40,7 @@ def op8_pack(spark, sf_dir):
 
 
 def op9_urls(spark, sf_dir):
-    return urls.judge(table(spark, sf_dir, "pages")).drop("n_strict", "n_soft", "weight")
+    return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op10_jaccard(spark, sf_dir):
@@ -55,17 +55,16 @@ def _op9_sql() -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))]
 
     def has(term):
-        return rf"regexp_matches(t, '(^|[^\pL\pN]){term}([^\pL\pN]|$)')"
+        return rf"CAST(regexp_matches(t, '(^|[^\pL\pN]){term}([^\pL\pN]|$)') AS INTEGER)"
 
-    strict = " OR ".join(map(has, urls.STRICT))
-    soft = " + ".join(f"CAST({has(t)} AS INTEGER)" for t in urls.SOFT)
-    own = f"CASE WHEN {strict} OR {soft} >= {urls.MIN_SOFT} THEN 'block' ELSE 'allow' END"
+    strict, soft = (" + ".join(map(has, terms)) for terms in (urls.STRICT, urls.SOFT))
+    weight = " + ".join(f"{w} * {has(t)}" for t, w in (urls.STRICT | urls.SOFT).items())
     rule, said = (" ".join(f"WHEN {f} THEN '{x}'" for f, *rest in fits for x in [rest[k]]) for k in (0, 1))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-    u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-    w AS (SELECT *, lower(host || path) AS t FROM u)
-    SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {said} ELSE {own} END AS verdict FROM w"""
+    u AS (SELECT page_id, lower(rest) AS t, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    w AS (SELECT *, {strict} AS n_strict, {soft} AS n_soft, round(CAST({weight} AS DOUBLE), 6) AS weight FROM u)
+    SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {said} WHEN weight >= {urls.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft, weight FROM w"""
 
 
 ORACLES: dict[str, str] = {"op9_urls": _op9_sql()}

@@ -1,10 +1,13 @@
 """Op 9: URL filter: host and path rules first, then a weighted vocabulary counted by an Aho-Corasick automaton.
 
-A term counts only between boundaries (ends of the url, or characters that are neither letters nor digits). One
-strict term rejects a url; so do ``min_soft`` different soft terms. Counts are over the host and the path.
-
-Nulls: a null url has an empty host and path, no rule, and is allowed. Repeated rows are judged one by one; empty
-tables give empty results.
+The whole url after its scheme is read, query and fragment included, in lower case. A term counts only between
+boundaries (ends of the url, or characters that are neither letters nor digits), and once however often it is there.
+The weights of the different terms add up, and a url of LIMIT or more is rejected: a strict term weighs that much by
+itself, a soft one 0.7 of it, or 0.34 where it is common in good urls too: it takes two soft terms, or three common ones.
+
+Nulls: a null url, and one without ``://``, has an empty host and path, no rule, no terms, and is allowed. Repeated
+rows are judged one by one; among rules that fit, the longest host and path together wins, then the one listed first;
+urls of any length are read whole; empty tables give empty results; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -18,17 +21,19 @@ from .common import map_batches, with_only
 
 #: (host, path, verdict): fixed values of the contract.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Terms with weights: strict ones weigh 1, soft ones less; MIN_SOFT different soft ones reject.
-STRICT = {t: 1.0 for t in ("porn", "xxx", "hentai", "escort", "adult", "casino", "malware", "phishing", "warez", "viagra")}
-SOFT = {t: 0.5 for t in ("ads", "bet", "bets", "betting", "cheap", "click", "crack", "dating", "farm", "free", "loan", "nude", "pills", "poker", "popup", "sex", "spam", "torrent", "track", "tracker", "win")}
-MIN_SOFT = 2
+LIMIT = 1.0
+#: The vocabulary, in English, French, German and Spanish: explicit content, gambling, malware, illegal copies and drugs;
+#: then what advertising, betting, dating, credit and trackers call themselves.
+STRICT = dict.fromkeys("porn porno pornografie pornographie pornografia xxx hentai milf escort escorts camgirl camgirls casino casinos-online spielcasino malware phishing ransomware keylogger warez crackz serialz viagra cialis".split(), 1.0)
+SOFT = dict.fromkeys("bet bets betting wetten wette paris-sportifs apuestas poker roulette slots jackpot nude nudes nackt nue desnuda sex sexe sexo dating rencontre citas loan loans kredit prestamo credito pills pillen pastillas torrent torrents crack keygen spam adult adultes erwachsene adulto".split(), 0.7)
+SOFT |= dict.fromkeys("ad ads advert werbung anuncio popup click clickbait track tracker cheap billig barato free kostenlos gratis gratuit win gewinn gagner ganar deal deals promo affiliate farm".split(), 0.34)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
     strict: dict
     soft: dict
-    min_soft: int = MIN_SOFT
+    limit: float = LIMIT
 
 
 def split_url(url: str = "url"):
@@ -52,18 +57,15 @@ def automaton(v: Vocabulary):
 
 
 def hits(a, text: str) -> tuple[int, int, float]:
-    """(strict hits, different soft terms, weight of all) at boundaries."""
-    strict, soft, weight = 0, set(), 0.0
-    for end, (term, kind, w) in a.iter(text):
+    """(different strict terms, different soft terms, weight of both) at boundaries."""
+    found: dict[str, tuple[str, float]] = {}
+    for end, (term, kind, weight) in a.iter(text):
         start = end - len(term) + 1
         if (start and text[start - 1].isalnum()) or (end + 1 < len(text) and text[end + 1].isalnum()):
             continue
-        weight += w
-        if kind == "strict":
-            strict += 1
-        else:
-            soft.add(term)
-    return strict, len(soft), round(weight, 6)
+        found[term] = (kind, weight)
+    n = sum(kind == "strict" for kind, _ in found.values())
+    return n, len(found) - n, round(sum(w for _, w in found.values()), 6)
 
 
 def judge(pages: DataFrame, rules=RULES, vocabulary: Vocabulary = Vocabulary(STRICT, SOFT)) -> DataFrame:
@@ -73,18 +75,18 @@ def judge(pages: DataFrame, rules=RULES, vocabulary: Vocabulary = Vocabulary(STR
         a = automaton(vocabulary)
 
         def kernel(c):
-            found = [hits(a, f"{h}{p}".lower()) if h or p else (0, 0, 0.0) for h, p in zip(c["host"], c["path"])]
-            yield {"page_id": c["page_id"], "host": c["host"], "path": c["path"], "n_strict": [x[0] for x in found], "n_soft": [x[1] for x in found], "weight": [x[2] for x in found]}
+            found = [hits(a, x.partition("://")[2].lower()) if x else (0, 0, 0.0) for x in c["url"]]
+            yield {k: c[k] for k in ("page_id", "host", "path")} | {"n_strict": [x[0] for x in found], "n_soft": [x[1] for x in found], "weight": [x[2] for x in found]}
 
         return kernel
 
     host, path = split_url()
-    parts = with_only(pages, page_id="long", url="string").select("page_id", host.alias("host"), path.alias("path"))
-    counted = map_batches(parts, make, "page_id long, host string, path string, n_strict int, n_soft int, weight double", text="path")
+    parts = with_only(pages, page_id="long", url="string").select("page_id", "url", host.alias("host"), path.alias("path"))
+    counted = map_batches(parts, make, "page_id long, host string, path string, n_strict int, n_soft int, weight double", text="url")
     #: The longest rule wins: by the length of host and path together, then as listed.
     order = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     fits = [((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p) for h, p, _ in order]
     rule = F.coalesce(*[F.when(f, F.lit(h + p)) for f, (h, p, _) in zip(fits, order)], F.lit(None).cast("string"))
     said = F.coalesce(*[F.when(f, F.lit(v)) for f, (_, _, v) in zip(fits, order)], F.lit(None).cast("string"))
-    own = F.when((F.col("n_strict") > 0) | (F.col("n_soft") >= vocabulary.min_soft), "block").otherwise("allow")
+    own = F.when(F.col("weight") >= vocabulary.limit, "block").otherwise("allow")
     return counted.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, own).alias("verdict"), "n_strict", "n_soft", "weight")
