@@ -140,9 +140,44 @@ def test_toxic_words_are_learned(spark):
 
 
 def test_grammar():
-    x = toxicity.Lexicon({"idiot": 2.0})
-    plain, aimed, denied, said = (x.clause(s.split()) for s in ("an idiot", "you idiot", "not an idiot", "he said an idiot"))
+    x = toxicity.Lexicon({"idiot": 2.0, "not": 3.0, "kill": 9.0})
+
+    def score(text):
+        return sum(x.clauses(text.lower()))
+
+    aimed, plain, said, denied = map(score, ("You idiot", "an idiot", "he said an idiot", "not an idiot"))
     assert aimed > plain > said > denied > 0
+    assert score("You, idiot") > score("idiot you") > score('He said: "you idiot"') > score("not you idiot") > 0
+    assert score("I will kill you") > score("kill you") > score("not kill you") > 0 == score("kill") == score("to kill time") == score("not you")
+    assert score("you sing. an idiot") == plain
+
+
+def test_composed_machine_is_its_parts_side_by_side():
+    rng = random.Random(6)
+    for _ in range(300):
+        symbols = [rng.choice(toxicity.CLASSES) for _ in range(30)]
+        state, parts = toxicity.START, [""] * 4
+        for s in symbols:
+            state, a, b = toxicity.ARCS[state, s]
+            steps = [m.step(p, s) for m, p in zip((toxicity.INSULT, toxicity.THREAT, toxicity.NEGATION, toxicity.REPORT), parts)]
+            parts, w = [p for p, _ in steps], [w for _, w in steps]
+            assert list(state) == parts and np.isclose(a, w[0] * w[2] * w[3]) and np.isclose(b, w[1] * w[2] * w[3])
+
+
+def test_toxicity_of_held_out_labels(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = [r for r in toxicity.score(d, l).join(l, "doc_id").collect() if r["held_out"]]
+    assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.95 * len(rows)
+    good = sorted((r["score"] for r in rows if r["toxic"]), reverse=True)
+    assert good[len(good) // 2] > 0.9 > 0.5 > max(r["score"] for r in rows if not r["toxic"])
+
+
+def test_clashing_and_repeated_labels(spark):
+    rows = [(i, "a zorkling here" if i % 3 == 0 else "nothing to see") for i in range(400)]
+    labels = [(i, int(i % 3 == 0)) for i in range(400)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    once, again = (sorted(map(tuple, toxicity.score(x, y).collect())) for x, y in ((d, l), (d.union(d), l.union(l.filter("toxic = 1")).union(l.filter("toxic = 1").selectExpr("doc_id", "0")))))
+    assert again == sorted(once * 2) and all(r[3] == int(r[0] % 3 == 0) for r in once)
 
 
 def test_fm_index():
@@ -220,9 +255,27 @@ def test_outliers_in_a_source_that_hardly_varies(spark):
 
 
 def test_urls(spark):
-    rows = [(1, "http://m.casino-win.example.org/fr/1"), (2, "http://free-bets.example.org/x"), (3, "http://free.example.org/x"), (4, "http://casinos.example.org/"), (5, "https://a.COM/en/1?x"), (6, "http://example.net/de/81"), (7, "http://q.net/de/8"), (8, "http://notcom/en/")]
+    rows = [
+        (1, "http://m.casino-win.example.org/fr/1"), (2, "http://free-bets.example.org/x"), (3, "http://free.example.org/x"), (4, "http://casinos.example.org/"), (5, "https://a.COM/en/1?x"), (6, "http://example.net/de/81"),
+        (7, "http://q.net/de/8"), (8, "http://notcom/en/"), (9, "http://x.org/a?u=phishing"), (10, "http://x.org/a#WAREZ"), (11, "http://x.org/free/free/free"), (12, "http://x.org/cheap?free=1#poker"), (13, "http://x.org/?q=a%20b&id=porno7"),
+        (14, "http://x.org/kostenlos/wetten"), (15, "http://x.org/mp3?free"), (16, "casino"),
+    ]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("com/en/", "block"), 6: ("example.net/de/8", "block"), 7: ("net/de/", "allow"), 8: (None, "allow")}
+    blocked = {1, 2, 5, 6, 9, 10, 12, 14}
+    assert {k for k, v in got.items() if v[1] == "block"} == blocked
+    assert {k: v[0] for k, v in got.items() if v[0]} == {5: "com/en/", 6: "example.net/de/8", 7: "net/de/"}
+
+
+def test_url_weights(spark):
+    """Counting by the automaton against a scan for each term, over random urls."""
+    rng = random.Random(8)
+    terms = [*urls.STRICT, *urls.SOFT]
+    rows = [(i, "http://" + "".join(rng.choice([*terms, "/", ".", "-", "?q=", "#", "x", "é"]) for _ in range(rng.randint(1, 6)))) for i in range(500)]
+    for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect():
+        text = dict(rows)[r["page_id"]][7:].lower()
+        hit = {t for t in terms if re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", text)}
+        assert r["n_strict"] == len(hit & set(urls.STRICT)) and r["n_soft"] == len(hit - set(urls.STRICT))
+        assert np.isclose(r["weight"], sum((urls.STRICT | urls.SOFT)[t] for t in hit)) and (r["verdict"] == "block") == (r["weight"] >= 1 - 1e-9)
 
 
 def test_wrappers(spark):
