@@ -3,11 +3,17 @@
 Documents longer than a sequence are cut into whole pieces (the first may be shorter); all pieces are packed. A
 solution is a multiset of bins, a bin being the lengths in it, so an instance is the number of pieces of each
 length: at most ``capacity`` numbers, whatever the corpus. Islands (one Spark task each) evolve populations of
-solutions: crossover injects whole well-filled bins of one parent into the other, drops the bins that would hold a
-piece twice, and best-fits the displaced pieces. After each epoch every island's elite goes to its neighbour. The
-best solution's bins are then dealt to the pieces by their rank among those of equal length, without a join.
+solutions, which begin with best-fit in disturbed orders. Crossover injects whole well-filled bins of one parent into
+the other, drops the bins that would hold a piece twice, and best-fits the displaced pieces; mutation breaks up bins
+with room in them and fills anew, each bin with the fullest set that its longest piece allows (a subset-sum). After
+each epoch every island's elite goes to its neighbour. Evolution ends at a proven lower bound, or when PATIENCE epochs
+in a row have brought no better solution. The best solution's bins are then dealt to the pieces by their rank among
+those of equal length, without a join of documents.
 
 Nulls: a null text is empty and still has its end id; a null doc_id is kept. Repeated rows are packed one by one.
+Texts of any length are cut whole; pieces of equal length are interchangeable and dealt in the order of tasks; the
+search is seeded, so equal tables in equal partitions are packed alike. Empty tables give empty results; extra columns
+are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from .common import map_batches, stored, with_only
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 1024, 2
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 2, 4, 4
+ISLANDS, PATIENCE, POPULATION, GENERATIONS = 4, 3, 4, 8
 Bins = Counter  # of tuples of lengths, descending
 
 
@@ -91,16 +97,69 @@ def pieces_of(bins: Bins) -> Counter:
     return out
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: pieces over half a bin each need one, and what they leave can't hold all of the rest."""
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    total = np.concatenate([[0], np.cumsum(n)])  # total[i]: pieces shorter than i
+    mass = np.concatenate([[0], np.cumsum(n * np.arange(capacity + 1))])
+    half, best = capacity // 2, 0
+    for least in range(half + 1):
+        alone = total[capacity + 1] - total[capacity - least + 1]
+        large = total[capacity - least + 1] - total[half + 1]
+        room = large * capacity - (mass[capacity - least + 1] - mass[half + 1])
+        small = mass[half + 1] - mass[least]
+        best = max(best, int(alone + large + max(0, -(-(small - room) // capacity))))
+    return best
+
+
+def fullest(first: int, left: Counter, capacity: int, order: list[int]) -> tuple[int, ...]:
+    """A bin with the piece ``first`` and the other pieces that fill it best; the earlier in ``order``, the sooner taken."""
+    room = capacity - first
+    mask, goal, reach, steps = (1 << (room + 1)) - 1, 1 << room, 1, []
+    for s in order:
+        for _ in range(min(left[s] - (s == first), room // s)):
+            more = (reach | reach << s) & mask
+            if more == reach:
+                break
+            steps.append((s, reach))
+            reach = more
+        if reach & goal:
+            break
+    bin_, at = [first], reach.bit_length() - 1
+    for s, before in reversed(steps):
+        if not before >> at & 1:
+            bin_.append(s)
+            at -= s
+    return tuple(sorted(bin_, reverse=True))
+
+
+def fill(left: Counter, capacity: int, start: Bins, rng: random.Random) -> Bins:
+    """``start`` and bins for what is left: the longest piece's fullest bin, as often as there are pieces for it."""
+    out, left = Counter(start), +left
+    while left:
+        order = sorted(left, key=lambda s: -s * rng.uniform(0.7, 1.0))
+        bin_ = fullest(max(left), left, capacity, order)
+        need = Counter(bin_)
+        k = min(left[s] // n for s, n in need.items())
+        out[bin_] += k
+        for s, n in need.items():
+            left[s] -= n * k
+            if not left[s]:
+                del left[s]
+    return out
+
+
 def crossover(a: Bins, b: Bins, counts: dict[int, int], capacity: int, rng: random.Random) -> Bins:
     """A share of b's well-filled bins goes into a; a's bins stay as far as the pieces then left allow; the pieces
     of the bins that went are best-fitted."""
     left, child = Counter(counts), Counter()
     share = rng.uniform(0.3, 0.9)
-    for take, source in ((share, b), (1.0, a)):
+    for source in (b, a):
         for bin_, k in sorted(source.items(), key=lambda x: (-sum(x[0]), x[0])):
             if sum(bin_) < capacity * (0.995 if source is b else 0.98):
                 break
-            if take < 1 and rng.random() > take:
+            if source is b and rng.random() > share:
                 continue
             need = Counter(bin_)
             k = min(k, *(left[s] // n for s, n in need.items()))
@@ -108,49 +167,67 @@ def crossover(a: Bins, b: Bins, counts: dict[int, int], capacity: int, rng: rand
                 child[bin_] += k
                 for s, n in need.items():
                     left[s] -= n * k
-    order = sorted((s for s, k in left.items() if k > 0), reverse=True)
-    if rng.random() < 0.5:  # mutation: neighbours in the order change places
-        for i in range(0, len(order) - 1, 2):
-            if rng.random() < 0.3:
-                order[i], order[i + 1] = order[i + 1], order[i]
-    return best_fit(left, capacity, child, order)
+    return best_fit(left, capacity, child)
+
+
+def mutate(bins: Bins, capacity: int, rng: random.Random) -> Bins:
+    """Breaks up a share of the bins with room in them, and as many full ones, and fills their pieces anew."""
+    share = rng.choice((0.1, 0.3, 1.0))
+    kept, left = Counter(), Counter()
+    loose = [b for b in sorted(bins) if sum(b) < capacity]
+    chosen = {b for b in loose if rng.random() < share}
+    full = [b for b in sorted(bins) if sum(b) == capacity and len(b) > 1]
+    chosen.update(rng.sample(full, min(len(full), max(4, int(rng.random() * (len(chosen) + 8))))))
+    for b, k in bins.items():
+        if b in chosen:
+            for s in b:
+                left[s] += k
+        else:
+            kept[b] = k
+    return fill(left, capacity, kept, rng)
 
 
-def evolve(population: list[Bins], counts: dict[int, int], capacity: int, generations: int, rng: random.Random) -> list[Bins]:
+def evolve(population: list[Bins], counts: dict[int, int], capacity: int, generations: int, rng: random.Random, bound: int = 0) -> list[Bins]:
+    """Each generation adds a child of two, mutated, and drops the worst solution."""
     for _ in range(generations):
+        if -fitness(population[0], capacity)[0] <= bound:
+            break
         a, b = rng.sample(population, 2) if len(population) > 1 else (population[0], population[0])
-        population = sorted([*population, crossover(a, b, counts, capacity, rng)], key=lambda x: fitness(x, capacity), reverse=True)[:-1]
+        children = [crossover(a, b, counts, capacity, rng)]
+        children.append(mutate(rng.choice([children[0], population[0]]), capacity, rng))
+        population = sorted([*population, *children], key=lambda x: fitness(x, capacity), reverse=True)[: len(population)]
     return population
 
 
-def solve(spark, counts: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 7) -> Bins:
-    """The best solution of all islands. Stops early at the lower bound, ceil(total / capacity) bins or those over half full."""
+def solve(spark, counts: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, patience: int = PATIENCE, seed: int = 7) -> Bins:
+    """The best solution of all islands."""
     if not counts:
         return Counter()
-    bound = max(-(-sum(s * k for s, k in counts.items()) // capacity), sum(k for s, k in counts.items() if 2 * s > capacity))
-    elites: list[Bins] = []
-    for epoch in range(epochs):
-        work = [(i, [elites[(i - 1) % islands], elites[i]] if elites else []) for i in range(islands)]
-
-        def run(rows):
-            for i, seeds in rows:
+    bound = lower_bound(counts, capacity)
+    best = best_fit(counts, capacity)
+    populations: list[list[Bins]] = [[] for _ in range(islands)]
+    epoch = idle = 0
+    while sum(best.values()) > bound and idle < patience:
+        elites = [p[0] for p in populations if p]
+        work = [(i, populations[i], elites[i - 1 : i] or elites[-1:]) for i in range(islands)]
+
+        def run(rows, epoch=epoch):
+            for i, population, guests in rows:
                 rng = random.Random(seed * 1009 + epoch * 101 + i)
-                population = list(seeds)
+                population = [*guests, *population][:POPULATION]
                 while len(population) < POPULATION:
                     order = sorted(counts, reverse=True)
-                    if i or population:  # other islands start from disturbed orders
+                    if i or population:  # others than the first start from disturbed orders
                         order.sort(key=lambda s: -s * rng.uniform(0.97, 1.0))
                     population.append(best_fit(counts, capacity, None, order))
-                    if sum(population[-1].values()) <= bound:
-                        break
-                if min(sum(p.values()) for p in population) > bound:
-                    population = evolve(population, counts, capacity, GENERATIONS, rng)
-                yield max(population, key=lambda x: fitness(x, capacity))
-
-        elites = spark.sparkContext.parallelize(work, islands).mapPartitions(run).collect()
-        best = max(elites, key=lambda x: fitness(x, capacity))
-        if sum(best.values()) <= bound:
-            break
+                population.sort(key=lambda x: fitness(x, capacity), reverse=True)
+                yield i, evolve(population, counts, capacity, GENERATIONS, rng, bound)
+
+        for i, population in spark.sparkContext.parallelize(work, islands).mapPartitions(run).collect():
+            populations[i] = population
+        found = max((p[0] for p in populations), key=lambda x: fitness(x, capacity))
+        idle = 0 if sum(found.values()) < sum(best.values()) else idle + 1
+        best, epoch = max(found, best, key=lambda x: fitness(x, capacity)), epoch + 1
     return best
 
 
