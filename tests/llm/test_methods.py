@@ -1,6 +1,7 @@
 """Each method against a brute-force version, an exact round trip or held-out accuracy."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -72,6 +73,52 @@ def test_packing_is_near_the_bound():
     assert sum(better.values()) <= 1.01 * sum(s * k for s, k in counts.items()) / 1024 + 1
 
 
+def triplets(n, rng):
+    """Pieces that fill n bins exactly, three in each."""
+    out = Counter()
+    for _ in range(n):
+        a = rng.randint(390, 500)
+        b = rng.randint(256, (1024 - a) // 2)
+        out.update([a, b, 1024 - a - b])
+    return out
+
+
+def test_evolution_beats_best_fit(spark):
+    for n in (60, 400):
+        counts = triplets(n, random.Random(n))
+        plain, best = packing.best_fit(counts, 1024), packing.solve(spark, counts)
+        assert packing.lower_bound(counts, 1024) == n and packing.pieces_of(best) == counts and all(sum(b) <= 1024 for b in best)
+        assert sum(best.values()) <= 1.02 * n + 1 < 1.1 * n < sum(plain.values())
+        assert packing.solve(spark, counts) == best
+
+
+def test_bins_and_bounds_against_brute_force(spark):
+    rng = random.Random(3)
+    for _ in range(12):
+        sizes = [rng.randint(1, 20) for _ in range(9)]
+        fewest = {0: (0, 0)}  # a set of pieces: bins, and what is in the last one
+        for s in range(1, 1 << 9):
+            fewest[s] = min((b, f + sizes[i]) if f and f + sizes[i] <= 24 else (b + 1, sizes[i]) for i in range(9) if s >> i & 1 for b, f in [fewest[s ^ 1 << i]])
+        assert packing.lower_bound(Counter(sizes), 24) <= fewest[511][0] == sum(packing.solve(spark, Counter(sizes), 24).values())
+
+
+def test_pieces_are_the_tokenizers(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
+    more = {-1: "a <|endoftext|> b", -2: None, -3: "", -4: "x" * 9000}
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
+    want = set()
+    for i, t in (texts | more).items():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        for k, s in enumerate([0, *range(first, len(ids), 1024)]):
+            e = first if k == 0 else s + 1024
+            want.add((i, k, s, min(e, len(ids)) - s, zlib.crc32(ids[s:e].tobytes())))
+    rows = packing.pack(d).collect()
+    assert {tuple(r)[:5] for r in rows} == want and len(rows) == len(want)
+
+
 def test_cut():
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(5, 1024) == [(0, 5)]
 
@@ -254,6 +301,40 @@ def test_outliers_in_a_source_that_hardly_varies(spark):
     assert sum(got[i] for i in range(200)) >= 198
 
 
+def test_least_determinant_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(16, 5)) * [1, 0.3, 0.1, 0.2, 0.5] + 4
+    v[[2, 7, 11]] += [6, -2, 3, 1, 5]
+    rows = spark.createDataFrame([("a", x.tolist(), [1e-6] * 5) for x in v], "g string, v array<double>, err array<double>")
+    got = quality.estimate(rows.repartition(3)).first()
+    n = int(np.ceil(quality.H * len(v)))
+    each = sorted(np.linalg.slogdet(quality.SHORT * np.cov(v[list(x)].T, bias=True) + (1e-6 + 1e-9) * np.eye(5))[1] for x in itertools.combinations(range(len(v)), n))
+    assert each[0] - 1e-6 <= got["logdet"] < each[0] + 0.5 and got["logdet"] < each[len(each) // 50]  # the least may be missed, but not by much
+    inner = np.delete(v, [2, 7, 11], axis=0)
+    assert np.abs(np.array(got["centre"]) - inner.mean(0)).max() < 0.3
+    # A determinant never rises over the steps, and a second estimate gives the same.
+    state = quality.stored(quality.starts(rows, None))
+    for _ in range(3):
+        new = quality.stored(quality.step(rows, state, None))
+        assert all(b["logdet"] <= a["logdet"] for a, b in zip(state.orderBy("start").collect(), new.orderBy("start").collect()))
+        state = new
+    assert quality.estimate(rows.repartition(1)).first() == got
+
+
+def test_outliers_of_small_groups_and_splits(spark):
+    rng = random.Random(4)
+    words = ["word%02d" % i for i in range(60)]
+
+    def text(mark=""):
+        return " ".join(rng.choice(words) + mark for _ in range(150))
+
+    rows = [(i, text(), "en", f"s{i % 150}") for i in range(300)] + [(900, text("##$"), "en", "s1"), (901, text("##$"), "de", "lone"), (902, text(), None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    a, b = (sorted(map(tuple, quality.judge(d.repartition(n)).collect())) for n in (1, 5))
+    kept = {r[0]: r[-2] for r in a}
+    assert a == b and not kept[900] and kept[902] and sum(kept[i] for i in range(300)) >= 298
+
+
 def test_urls(spark):
     rows = [
         (1, "http://m.casino-win.example.org/fr/1"), (2, "http://free-bets.example.org/x"), (3, "http://free.example.org/x"), (4, "http://casinos.example.org/"), (5, "https://a.COM/en/1?x"), (6, "http://example.net/de/81"),
