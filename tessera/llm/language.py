@@ -1,13 +1,16 @@
 """Op 2: language identification by segmentation-marginalised unigrams.
 
-Texts are lower-cased and cut into runs of letters. Over a fixed public vocabulary of pieces each language has piece
-probabilities; a word's probability is the sum over all its segmentations (forward algorithm), and a text's the
-product over its words. Learning is one expectation step: under equal piece probabilities, forward and backward
-sums give each piece's expected count in every word of the labelled texts, and the counts are added up over the
-whole corpus. The model has (languages x vocabulary) numbers at most, so it is collected and broadcast.
-
-Nulls and texts without a letter get ``und`` and score 0. A null lang is not learned from. Without any labelled
-text all are ``und``. Repeated rows count one by one.
+Texts are lower-cased and cut into runs of letters. Over all letter pieces of a fixed public vocabulary each language
+has piece probabilities; a word's probability is the sum over all its segmentations (forward algorithm), and a text's
+the product over its words. Learning is expectation-maximisation over the counted words of each language: from equal
+piece probabilities, forward and backward sums give each piece's expected count, until a step raises the
+log-likelihood by less than SETTLED of it. The model has (languages x vocabulary) numbers, so it is collected and
+broadcast; the words are counted once and stay distributed.
+
+Nulls and texts without a letter get ``und`` and score 0. A null lang is not learned from. Without any labelled text
+all are ``und``. Whole texts and whole words count, however long: sums over words of more than LINEAR letters are
+taken in logarithms. Of equally likely languages the first by name is predicted. Repeated rows count one by one;
+empty tables give empty results; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -20,119 +23,149 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, with_only
+from .common import held_out, map_batches, stored, with_only
 from .tokens import tokenizer_path
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A character that is no piece: as likely in each language. Words are looked at in spans of so many characters.
-UNKNOWN, SPAN = 1e-8, 30
-LONGEST, BLOCK, MEMORY = 6, 8_000, 150_000
-MIX, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(43)
+#: A character that is no piece: as likely in each language.
+UNKNOWN, SMOOTH, SETTLED = 1e-8, 0.1, 1e-3
+LINEAR, BLOCK, MEMORY = 30, 8_000, 150_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BITS = 18
 
 
 class Pieces:
-    """The letters-only pieces, of up to LONGEST characters, of a public SentencePiece vocabulary. Words are looked up
-    many at once: spans are hashed, and a table by hash holds the pieces (of pieces that share a slot the first stays)."""
+    """The letters-only pieces of a public SentencePiece vocabulary. All spans of many words are looked up at once by
+    rolling hashes, in a table with open addressing; that no two pieces share a hash is checked."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
-        known = dict.fromkeys(p for i in range(sp.get_piece_size()) if len(p := sp.id_to_piece(i).lower()) <= LONGEST and LETTERS.fullmatch(p.removeprefix("▁")))
-        self.table, self.hashes = np.full(1 << 21, -1, np.int32), np.zeros(len(known) + 1, np.uint64)
-        n = 0
-        for p in known:
-            h = self.hash(np.array([[ord(c) for c in p]], np.uint64))[0]
-            if self.table[h >> SHIFT] < 0:
-                self.table[h >> SHIFT], self.hashes[n] = n, h
-                n += 1
-        self.n = n
+        known = list(dict.fromkeys(p for i in range(sp.get_piece_size()) if LETTERS.fullmatch((p := sp.id_to_piece(i).lower()).removeprefix("▁"))))
+        self.pieces, self.n, self.longest = known, len(known), max(map(len, known))
+        self.hashes = np.zeros(self.n, np.uint64)
+        for i, p in enumerate(known):
+            h = np.zeros(1, np.uint64)
+            for c in p:
+                h = self.roll(h, np.array([ord(c)], np.uint64))
+            self.hashes[i] = h[0]
+        assert len(np.unique(self.hashes)) == self.n
+        self.table, self.probes = np.full((1 << BITS) + 64, -1, np.int32), 1
+        for i, slot in enumerate((self.hashes >> np.uint64(64 - BITS)).tolist()):
+            k = next(k for k in range(64) if self.table[slot + k] < 0)
+            self.table[slot + k], self.probes = i, max(self.probes, k + 1)
 
     @staticmethod
-    def hash(codes: np.ndarray) -> np.ndarray:
-        """Of the rows of a matrix of characters."""
-        h = np.full(len(codes), codes.shape[1], np.uint64)
-        for k in range(codes.shape[1]):
-            h = (h ^ codes[:, k]) * MIX
-            h ^= h >> np.uint64(29)
-        return h * MIX
-
-    def lattice(self, words: list[str]):
-        """For words sorted by descending length (each starts with its mark): starts, lengths, and per piece length L
-        an array over all characters with the piece of the next L: n for an unknown lone character, n + 1 for none."""
-        text = "".join(words)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    def roll(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        h = (h ^ code) * MIX
+        return (h ^ (h >> np.uint64(29))) * MIX
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces with these hashes, -1 for none."""
+        slot, out = (h >> np.uint64(64 - BITS)).astype(np.int64), np.full(len(h), -1, np.int32)
+        todo = np.arange(len(h))
+        for k in range(self.probes):
+            found = self.table[slot[todo] + k]
+            good = (found >= 0) & (self.hashes[found] == h[todo])
+            out[todo[good]] = found[good]
+            todo = todo[(found >= 0) & ~good]
+        return out
+
+    def lattice(self, words: list[str]) -> Lattice:
+        """Of words with their start mark. Nodes are the places before, between and after the characters of each word."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         size = np.array([len(w) for w in words])
         start = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(size)), size)
         left = np.repeat(start + size, size) - np.arange(len(codes))
-        pieces = {}
-        for L in range(1, LONGEST + 1):
-            out = np.full(len(codes), self.n if L == 1 else self.n + 1, np.int32)
-            at = np.flatnonzero(left >= L)
-            if len(at):
-                h = self.hash(np.stack([codes[at + k] for k in range(L)], 1))
-                found = self.table[h >> SHIFT]
-                good = (found >= 0) & (self.hashes[found] == h)
-                out[at[good]] = found[good]
-            pieces[L] = out
-        return start, size, pieces
-
-
-def forward(start, size, pieces, p: np.ndarray, back: bool = False) -> np.ndarray:
-    """f[j, word, k]: the sum over all segmentations of the first j (back: of all but the first j) characters under p[:, k]."""
-    top = int(size.max())
-    f = np.zeros((top + 1, len(size), p.shape[1]))
-    if back:
-        f[size, np.arange(len(size))] = 1.0
-    else:
-        f[0] = 1.0
-    for j in range(top - 1, -1, -1) if back else range(1, top + 1):
-        active = int(np.searchsorted(-size, -j if not back else -(j + 1), side="right"))
-        for L in range(1, LONGEST + 1):
-            if back and j + L <= top:
-                w = int(np.searchsorted(-size, -(j + L), side="right"))
-                f[j, :w] += f[j + L, :w] * p[pieces[L][start[:w] + j]]
-            elif not back and j >= L:
-                f[j, :active] += f[j - L, :active] * p[pieces[L][start[:active] + j - L]]
-    return f
-
-
-def parts_of(words) -> list[tuple[str, int]]:
-    """(part with the start mark, index of its word), longest first."""
-    out = [("▁" + w[i : i + SPAN], k) for k, w in enumerate(words) for i in range(0, len(w), SPAN)]
-    return sorted(out, key=lambda x: -len(x[0]))
-
-
-def expected(pieces: Pieces, words: list[str], counts: list[int]) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of the words, each piece being equally likely."""
-    p = np.full((pieces.n + 2, 1), 1.0 / max(1, pieces.n))
-    p[-2:, 0] = UNKNOWN, 0.0
-    total = np.zeros(pieces.n + 2)
-    for a in range(0, len(words), BLOCK):
-        parts = parts_of(words[a : a + BLOCK])
-        start, size, at = pieces.lattice([w for w, _ in parts])
-        weight = np.array([counts[a + k] for _, k in parts], float)
-        f, b = forward(start, size, at, p)[..., 0], forward(start, size, at, p, back=True)[..., 0]
-        weight /= f[size, np.arange(len(size))]
-        word, place = np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(start, size)
-        for L in range(1, LONGEST + 1):
-            ok = np.flatnonzero(at[L] < pieces.n)
-            w, i, k = word[ok], place[ok], at[L][ok]
-            total += np.bincount(k, f[i, w] * p[k, 0] * b[i + L, w] * weight[w], minlength=pieces.n + 2)
-    return total[: pieces.n]
+        h, at = np.zeros(len(codes), np.uint64), np.arange(len(codes))
+        froms, lengths, pieces = [], [], []
+        for n in range(1, min(self.longest, int(size.max())) + 1):
+            at = at[left[at] >= n]
+            h[at] = self.roll(h[at], codes[at + n - 1])
+            found = self.find(h[at])
+            good = found >= 0
+            froms.append(at[good])
+            pieces.append(found[good])
+            if n == 1:  # a character that is no piece
+                froms.append(at[~good])
+                pieces.append(np.full(int((~good).sum()), self.n, np.int32))
+            lengths.append(np.full(sum(map(len, froms)) - sum(map(len, lengths)), n))
+        at, n, piece = np.concatenate(froms), np.concatenate(lengths), np.concatenate(pieces)
+        return Lattice(start, size, word, at, n, piece)
+
+
+class Lattice:
+    """Edges from node to node, each with a piece; a node is a character's place plus its word's number, as each word
+    has one node more than characters."""
+
+    def __init__(self, start, size, word, at, n, piece):
+        self.first, self.last, self.nodes = start + np.arange(len(size)), start + size + np.arange(len(size)), int(size.sum()) + len(size)
+        self.word, self.source, self.piece = word[at], at + word[at], piece
+        self.target = self.source + n
+        self.depth = at - start[word[at]]  # of the source in its word
+        self.length = n
+
+    def sums(self, p: np.ndarray, logs: bool, back: bool = False) -> np.ndarray:
+        """For each node and column of p: the sum over all segmentations of its word before it (back: after it)."""
+        here, there = (self.target, self.source) if not back else (self.source, self.target)
+        level = self.depth + self.length if not back else -self.depth
+        order = np.lexsort((here, level))
+        here, there, piece, level = here[order], there[order], self.piece[order], level[order]
+        f = np.full((self.nodes, p.shape[1]), -np.inf if logs else 0.0)
+        f[self.last if back else self.first] = 0.0 if logs else 1.0
+        cut = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]])) if len(level) else []
+        new = np.concatenate([[True], here[1:] != here[:-1]])
+        for a, b in zip(cut, [*cut[1:], len(level)]):
+            heads = np.flatnonzero(new[a:b])
+            to = here[a:b][heads]
+            if logs:
+                x = f[there[a:b]] + p[piece[a:b]]
+                top = np.maximum.reduceat(x, heads)
+                f[to] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff([*heads, b - a]), axis=0)), heads))
+            else:
+                f[to] = np.add.reduceat(f[there[a:b]] * p[piece[a:b]], heads)
+        return f
+
+
+def blocks_of(words: list[str]):
+    """(numbers of the words, whether in logarithms): words of LINEAR letters at most in blocks, longer ones in others."""
+    long = [i for i, w in enumerate(words) if len(w) > LINEAR]
+    short = [i for i, w in enumerate(words) if len(w) <= LINEAR]
+    for which, logs in ((short, False), (long, True)):
+        for a in range(0, len(which), BLOCK):
+            yield which[a : a + BLOCK], logs
+
+
+def expected(pieces: Pieces, words: list[str], counts: list[int], p: np.ndarray) -> tuple[np.ndarray, float]:
+    """(expected uses of each piece over all segmentations of the words, log-likelihood) under p."""
+    total, likely = np.zeros(pieces.n + 1), 0.0
+    p = np.append(p, UNKNOWN)[:, None]
+    for which, logs in blocks_of(words):
+        x = pieces.lattice(["▁" + words[i] for i in which])
+        q = np.log(p) if logs else p
+        f, b = x.sums(q, logs)[:, 0], x.sums(q, logs, back=True)[:, 0]
+        n, end = np.array([counts[i] for i in which], float), f[x.last]
+        if logs:
+            uses = np.exp(f[x.source] + q[x.piece, 0] + b[x.target] - end[x.word])
+        else:
+            uses = f[x.source] * q[x.piece, 0] * b[x.target] / end[x.word]
+            end = np.log(end)
+        likely += float((n * end).sum())
+        total += np.bincount(x.piece, uses * n[x.word], minlength=pieces.n + 1)
+    return total[:-1], likely
 
 
 def learn(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
-    """(languages, log-free piece probabilities by language) from rows with a text and a lang."""
+    """(languages, piece probabilities by language) from rows with a text and a lang."""
 
-    def make():
-        pieces = Pieces(path)
+    def make_counts():
         words: dict[str, Counter] = {}
-        sums: dict[str, np.ndarray] = {}
 
-        def flush():
+        def out():
             for lang, counter in words.items():
-                sums[lang] = sums.get(lang, 0.0) + expected(pieces, list(counter), list(counter.values()))
+                yield {"lang": [lang] * len(counter), "word": list(counter), "n": list(counter.values())}
                 counter.clear()
 
         class Kernel:
@@ -140,23 +173,59 @@ def learn(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
                 for text, lang in zip(c["text"], c["lang"]):
                     words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
                 if sum(map(len, words.values())) > MEMORY:
-                    flush()
-                return ()
+                    yield from out()
 
             def close(self):
-                flush()
-                for lang, total in sums.items():
-                    at = np.flatnonzero(total)
-                    yield {"lang": [lang] * len(at), "piece": at.tolist(), "n": total[at].tolist()}
+                return out()
 
         return Kernel()
 
-    rows = map_batches(docs.select("text", "lang"), make, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in rows})
-    p = np.full((max(1, len(langs)), Pieces(path).n), 0.1)
-    for r in rows:
-        p[langs.index(r["lang"]), r["piece"]] += r["n"]
-    return langs, p / p.sum(axis=1, keepdims=True)
+    sc = docs.sparkSession.sparkContext
+    counted = stored(map_batches(docs.select("text", "lang"), make_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
+    n = Pieces(path).n
+    if not langs:
+        return [], np.full((1, n), 1.0 / n)
+    p, before = np.full((len(langs), n), 1.0 / n), None
+    while True:
+        model = sc.broadcast((langs, p))
+
+        def make(model=model):
+            pieces, (langs, p) = Pieces(path), model.value
+            sums = {lang: np.zeros(pieces.n) for lang in langs}
+            likely = dict.fromkeys(langs, 0.0)
+
+            class Kernel:
+                def __call__(self, c):
+                    by: dict[str, tuple[list, list]] = {}
+                    for lang, word, k in zip(c["lang"], c["word"], c["n"]):
+                        a, b = by.setdefault(lang, ([], []))
+                        a.append(word)
+                        b.append(k)
+                    for lang, (words, counts) in by.items():
+                        total, x = expected(pieces, words, counts, p[langs.index(lang)])
+                        sums[lang] += total
+                        likely[lang] += x
+                    return ()
+
+                def close(self):
+                    for lang, total in sums.items():
+                        at = np.flatnonzero(total)
+                        yield {"lang": [lang] * (len(at) + 1), "piece": [-1, *at.tolist()], "n": [likely[lang], *total[at].tolist()]}
+
+            return Kernel()
+
+        rows = map_batches(counted, make, "lang string, piece int, n double", text="word").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+        p, now = np.full((len(langs), n), SMOOTH), 0.0
+        for r in rows:
+            if r["piece"] < 0:
+                now += r["n"]
+            else:
+                p[langs.index(r["lang"]), r["piece"]] += r["n"]
+        p /= p.sum(axis=1, keepdims=True)
+        if before is not None and now - before < SETTLED * abs(before):
+            return langs, p
+        before = now
 
 
 class Scorer:
@@ -164,17 +233,17 @@ class Scorer:
 
     def __init__(self, path: str, p: np.ndarray):
         self.pieces = Pieces(path)
-        self.p = np.vstack([p.T, np.full((1, len(p)), UNKNOWN), np.zeros((1, len(p)))])
+        self.p = np.vstack([p.T, np.full((1, len(p)), UNKNOWN)])
+        self.log_p = np.log(self.p)
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((0, len(p)))
 
     def learn(self, words: list[str]) -> None:
         logs = np.zeros((len(words), self.p.shape[1]))
-        for a in range(0, len(words), BLOCK):
-            parts = parts_of(words[a : a + BLOCK])
-            start, size, at = self.pieces.lattice([w for w, _ in parts])
-            f = forward(start, size, at, self.p)[size, np.arange(len(size))]
-            np.add.at(logs, [a + k for _, k in parts], np.log(np.maximum(f, 1e-300)))
+        for which, in_logs in blocks_of(words):
+            x = self.pieces.lattice(["▁" + words[i] for i in which])
+            f = x.sums(self.log_p if in_logs else self.p, in_logs)[x.last]
+            logs[which] = f if in_logs else np.log(f)
         self.rows.update(zip(words, range(len(self.logs), len(self.logs) + len(words))))
         self.logs = np.concatenate([self.logs, logs])
 
@@ -216,12 +285,8 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, keep: t
     return map_batches(df, make, ", ".join(f"{k} {types[k]}" for k in out) + ", lang_pred string, score double")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return with_only(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long")
-
-
 def fit(docs: DataFrame, path: str | None = None):
-    train = _rows(docs).filter(~held_out()).filter("text is not null and lang is not null")
+    train = with_only(docs, doc_id="long", text="string", lang="string").filter(~held_out()).filter("text is not null and lang is not null")
     path = path or tokenizer_path("piece_bpe_32k.model")
     return (*learn(train, path), path)
 
@@ -229,12 +294,12 @@ def fit(docs: DataFrame, path: str | None = None):
 def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     langs, p, path = fit(docs, path)
-    d = predict(_rows(docs), langs, p, path)
+    d = predict(with_only(docs, doc_id="long", text="string"), langs, p, path)
     return d.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, path: str | None = None) -> DataFrame:
     """The documents (with their columns) whose language is identified with a score of ``least`` or more."""
     langs, p, path = fit(docs, path)
-    d = predict(_rows(docs), langs, p, path, keep=("text", "lang", "source", "n_chars"))
+    d = predict(with_only(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long"), langs, p, path, keep=("text", "lang", "source", "n_chars"))
     return d.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")

@@ -132,18 +132,47 @@ def test_languages(docs):
 
 def test_forward_sums_all_segmentations():
     p = language.Pieces(tokens.tokenizer_path("piece_bpe_32k.model"))
-    q = np.random.default_rng(0).random((p.n + 2, 1))
-    q[-1] = 0
-    words = ["▁the", "▁no", "▁a"]
-    start, size, at = p.lattice(words)
-
-    def brute(k, i):
-        return 1.0 if i == size[k] else sum(q[at[L][start[k] + i], 0] * brute(k, i + L) for L in range(1, language.LONGEST + 1) if i + L <= size[k])
-
-    f = language.forward(start, size, at, q)
-    b = language.forward(start, size, at, q, back=True)
-    for k in range(len(words)):
-        assert np.isclose(f[size[k], k, 0], brute(k, 0)) and np.isclose(b[0, k, 0], brute(k, 0))
+    q = np.random.default_rng(0).random((p.n + 1, 2))
+    number = {w: i for i, w in enumerate(p.pieces)}
+    words = ["▁international", "▁no", "▁a", "▁zürichs", "▁Ωω", "▁" + "information" * 4]
+
+    def brute(w, k):
+        f = [1.0] + [0.0] * len(w)
+        for j in range(1, len(w) + 1):
+            for i in range(j):
+                piece = number.get(w[i:j], p.n if j - i == 1 else None)
+                f[j] += f[i] * q[piece, k] if piece is not None else 0.0
+        return f[-1]
+
+    x = p.lattice(words)
+    for logs in (False, True):
+        f, b = (x.sums(np.log(q) if logs else q, logs, back) for back in (False, True))
+        f, b = (np.exp(f), np.exp(b)) if logs else (f, b)
+        for i, w in enumerate(words):
+            for k in range(2):
+                assert np.isclose(f[x.last[i], k], brute(w, k)) and np.isclose(b[x.first[i], k], brute(w, k))
+
+
+def test_all_letter_pieces_are_known():
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    sp, p = SentencePieceProcessor(model_file=path), language.Pieces(path)
+    letters = {x for i in range(sp.get_piece_size()) if language.LETTERS.fullmatch((x := sp.id_to_piece(i).lower()).removeprefix("▁"))}
+    assert set(p.pieces) == letters and p.n == len(letters)
+    for w in sorted(letters)[::97]:
+        x = p.lattice([w])
+        assert p.pieces.index(w) in x.piece[(x.source == x.first[0]) & (x.target == x.last[0])]
+
+
+def test_expectation_steps_raise_the_likelihood():
+    p = language.Pieces(tokens.tokenizer_path("piece_bpe_32k.model"))
+    words, counts = ["the", "there", "other", "internationally", "x" * 400], [50, 7, 9, 2, 1]
+    q, last = np.full(p.n, 1 / p.n), -np.inf
+    for _ in range(5):
+        total, likely = language.expected(p, words, counts, q)
+        assert likely > last and total.sum() <= sum(n * (len(w) + 1) for n, w in zip(counts, words)) + 1e-6
+        q, last = total / total.sum() + 1e-12, likely
 
 
 A = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
