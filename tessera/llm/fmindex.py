@@ -1,25 +1,30 @@
-"""Op 6: benchmark decontamination with an FM-index over each shard of the corpus.
-
-A word that no benchmark item has ends every possible match, so a shard's text is its runs of benchmark words that
-are as long as the shortest window. Over the runs' word numbers stand a suffix array (only while building), the
-Burrows-Wheeler transform in a wavelet matrix with rank blocks, and suffix positions sampled at run starts and
-every SAMPLE words. All windows are searched backwards at once, their occurrences located by walking to a sampled
-suffix, and the spans of each document merged. Items come in blocks of at most BLOCK_WORDS words, each broadcast
-and searched in turn, so a benchmark of any size is covered.
-
-Nulls: a null text has no words; a null item text no windows; a null item_id is written as the empty text. Repeated
-rows count one by one; with an empty benchmark nothing is hit.
+"""Op 6: benchmark decontamination with an FM-index for each shard of the corpus.
+
+A shard is a run of whole documents of about CHUNK_CHARS characters (a longer document is a shard of its own). Over
+all its word numbers, a separator after each document, stand a suffix array (only while building), the
+Burrows-Wheeler transform in a wavelet matrix with rank blocks, and suffix positions sampled at documents' beginnings
+and every SAMPLE words. ``index`` gives the indexes as a table of one row a shard, which can be kept and searched for
+other benchmarks without reading the corpus again. All windows are searched backwards at once, their occurrences
+located by walking to a sampled suffix, and the spans of each document merged. Items come in blocks of at most
+BLOCK_WORDS words, each broadcast and searched in turn, so a benchmark of any size is covered.
+
+Nulls: a null text has no words; a null item text no windows; a null item_id is written as the empty text. Texts are
+indexed whole, however long. A window that several items share counts for each of them; overlapping spans are merged.
+Repeated rows count one by one, repeated items once; with an empty benchmark nothing is hit; empty tables give empty
+results; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import re
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_batches, with_only
+from .common import map_batches, stored, with_only
 
 WINDOW, SAMPLE, BLOCK_WORDS = 10, 8, 200_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -61,17 +66,25 @@ class Wavelet:
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """By prefix doubling; ends once all suffixes differ, which is by the longest run, as separators differ."""
+    """By prefix doubling. Only suffixes that still tie with a neighbour are sorted again; separators differ, so it
+    ends by the longest repeated run."""
     n = len(seq)
-    _, rank = np.unique(seq, return_inverse=True)
-    rank, k = rank.astype(np.int64), 1
-    sa = np.argsort(rank, kind="stable")
-    while rank.max(initial=0) < n - 1:
-        key = rank * (n + 1)
-        key[: n - k] += rank[k:] + 1
-        sa = np.argsort(key, kind="stable")
-        changed = np.concatenate([[0], key[sa][1:] != key[sa][:-1]])
-        rank[sa] = np.cumsum(changed)
+    sa = np.argsort(seq, kind="stable")
+    x = seq[sa]
+    heads = np.concatenate([[True], x[1:] != x[:-1]]) if n else np.zeros(0, bool)
+    rank = np.empty(n, np.int64)
+    group = np.maximum.accumulate(np.where(heads, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+    rank[sa] = group  # a suffix's rank: the first row of those it ties with
+    k, tied = 1, np.flatnonzero(~(heads & np.concatenate([heads[1:], [True]]))) if n else np.zeros(0, np.int64)
+    while len(tied):
+        at = sa[tied]
+        after = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        order = np.argsort(rank[at] * (n + 2) + after, kind="stable")
+        at, first, after = at[order], rank[at][order], after[order]
+        sa[tied] = at  # tied rows are ascending, and so are the groups
+        new = np.concatenate([[True], (first[1:] != first[:-1]) | (after[1:] != after[:-1])])
+        rank[at] = tied[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        tied = tied[~(new & np.concatenate([new[1:], [True]]))]
         k *= 2
     return sa
 
@@ -79,32 +92,54 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Over runs of word numbers (from 1); each run is followed by a separator of its own, lower than all words."""
 
-    def __init__(self, runs: list[np.ndarray], top: int):
-        seps = len(runs)
-        size = np.array([len(r) + 1 for r in runs])
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, top: int):
+        seps, size = len(sizes), np.asarray(sizes, np.int64) + 1
         self.start = np.cumsum(size) - size
-        seq = np.zeros(int(size.sum()), np.int64)
         last = self.start + size - 1
+        seq = np.zeros(int(size.sum()), np.int64)
         inner = np.ones(len(seq), bool)
         inner[last] = False
-        seq[inner] = np.concatenate(runs) + seps
+        seq[inner] = ids + seps
         seq[last] = np.arange(seps)
         sa = suffix_array(seq)
         word = np.where(seq < seps, 0, seq - seps)
-        self.bwt = word[sa - 1]
-        self.wavelet = Wavelet(self.bwt, top)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=top + 1))])[: top + 1]
+        self._over(word[sa - 1], np.bincount(word, minlength=top + 1), top)
         inside = np.arange(len(seq)) - np.repeat(self.start, size)
         self.sampled = inside[sa] % SAMPLE == 0
-        self.place = np.cumsum(self.sampled) - 1
         self.positions = sa[self.sampled]
-        self.n = len(seq)
+        self.place = np.cumsum(self.sampled) - 1
+
+    def _over(self, bwt: np.ndarray, counts: np.ndarray, top: int) -> None:
+        self.bwt, self.n, self.top, self.counts = bwt, len(bwt), top, counts
+        self.first = np.concatenate([[0], np.cumsum(counts)])[: top + 1]
+
+    @cached_property
+    def wavelet(self) -> Wavelet:
+        return Wavelet(self.bwt, self.top)
+
+    def dump(self, **more: np.ndarray) -> bytes:
+        """The index as bytes, with further arrays."""
+        small = np.uint16 if self.top < 1 << 16 else np.uint32
+        out = io.BytesIO()
+        np.savez(out, bwt=self.bwt.astype(small), counts=self.counts.astype(np.uint32), start=self.start, sampled=np.packbits(self.sampled), positions=self.positions.astype(np.uint32), **more)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> tuple[FMIndex, dict[str, np.ndarray]]:
+        z = np.load(io.BytesIO(data))
+        self = cls.__new__(cls)
+        self._over(z["bwt"].astype(np.int64), z["counts"].astype(np.int64), len(z["counts"]) - 1)
+        self.start, self.positions = z["start"], z["positions"].astype(np.int64)
+        self.sampled = np.unpackbits(z["sampled"], count=self.n).astype(bool)
+        self.place = np.cumsum(self.sampled) - 1
+        return self, {k: z[k] for k in z.files}
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of patterns, which are right-aligned in the matrix."""
+        """Row ranges of patterns, which are right-aligned in the matrix; a word number of 0 is none."""
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         width = patterns.shape[1]
         for k in range(width - 1, -1, -1):
+            hi[(lengths >= width - k) & (patterns[:, k] == 0)] = 0
             on = np.flatnonzero((lengths >= width - k) & (lo < hi))
             if len(on):
                 c = patterns[on, k]
@@ -129,17 +164,15 @@ class FMIndex:
 def windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> dict:
     """Vocabulary, right-aligned window matrix, lengths, and the items of each window."""
     vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], list[str]] = {}
+    found: dict[tuple[int, ...], dict[str, None]] = {}
     for item, text in items:
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
         for i in range(max(1, len(ids) - size + 1) if ids else 0):
-            names = found.setdefault(tuple(ids[i : i + size]), [])
-            if item not in names:
-                names.append(item)
+            found.setdefault(tuple(ids[i : i + size]), {})[item] = None
     matrix = np.zeros((len(found), size), np.int64)
     for r, w in enumerate(found):
         matrix[r, size - len(w) :] = w
-    return {"vocabulary": vocabulary, "matrix": matrix, "lengths": np.array([len(w) for w in found], np.int64), "items": list(found.values())}
+    return {"words": list(vocabulary), "matrix": matrix, "lengths": np.array([len(w) for w in found], np.int64), "items": [list(x) for x in found.values()]}
 
 
 def blocks_of(benchmark: DataFrame, size: int = WINDOW) -> list:
@@ -156,80 +189,98 @@ def blocks_of(benchmark: DataFrame, size: int = WINDOW) -> list:
     return [*out, sc.broadcast(windows(held, size))] if held else out
 
 
-def find(texts: list[str | None], blocks: list) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
-    """Of each text: number of words, merged spans of hit words, items with occurring windows."""
+def build(texts: list[str | None]) -> tuple[FMIndex, dict[bytes, int], list[int]]:
+    """(index, the numbers of its words, words of each text) of a shard."""
+    numbers: dict[bytes, int] = {}
     words = [words_of(t) for t in texts]
+    for w in set().union(*words):
+        numbers[w] = len(numbers) + 1
     sizes = [len(w) for w in words]
-    base = np.cumsum([0, *sizes])
-    mark = np.zeros(int(base[-1]) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in texts]
+    ids = np.fromiter((numbers[w] for ws in words for w in ws), np.int64, sum(sizes))
+    return FMIndex(ids, np.array(sizes, np.int64), len(numbers)), numbers, sizes
+
+
+def find(index: FMIndex, numbers: dict[bytes, int], sizes: list[int], blocks: list) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+    """Of each document of a shard: merged spans of hit words, items with occurring windows."""
+    mark = np.zeros(index.n + 1, np.int64)
+    items: list[set[str]] = [set() for _ in sizes]
     for shared in blocks:
         b = shared.value
-        if len(b["items"]):
-            get, least = b["vocabulary"].get, int(b["lengths"].min())
-            ids = np.fromiter((get(w, 0) for ws in words for w in ws), np.int64, int(base[-1]))
-            edge = np.zeros(len(ids) + 1, bool)
-            edge[base] = True
-            cut = np.flatnonzero(edge[:-1] | (ids == 0) | np.concatenate([[True], ids[:-1] == 0])) if len(ids) else np.zeros(0, np.int64)
-            ends = np.concatenate([cut[1:], [len(ids)]]) if len(cut) else cut
-            keep = (ends - cut >= least) & (ids[cut] != 0) if len(cut) else np.zeros(0, bool)
-            starts, ends = cut[keep], ends[keep]
-            if len(starts):
-                index = FMIndex([ids[a:e] for a, e in zip(starts, ends)], len(b["vocabulary"]))
-                lo, hi = index.search(b["matrix"], b["lengths"])
-                hit = np.flatnonzero(hi > lo)
-                count = hi[hit] - lo[hit]
-                which = np.repeat(hit, count)
-                rows = np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                at = index.locate(rows)
-                run = np.searchsorted(index.start, at, side="right") - 1
-                at = starts[run] + at - index.start[run]
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + b["lengths"][which], -1)
-                doc = np.searchsorted(base, at, side="right") - 1
-                for d, w in set(zip(doc.tolist(), which.tolist())):
-                    items[d].update(b["items"][w])
+        if len(b["items"]) and index.n:
+            number = np.array([0, *(numbers.get(w, 0) for w in b["words"])], np.int64)
+            lo, hi = index.search(number[b["matrix"]], b["lengths"])
+            hit = np.flatnonzero(hi > lo)
+            count = hi[hit] - lo[hit]
+            which = np.repeat(hit, count)
+            at = index.locate(np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + b["lengths"][which], -1)
+            doc = np.searchsorted(index.start, at, side="right") - 1
+            for d, w in set(zip(doc.tolist(), which.tolist())):
+                items[d].update(b["items"][w])
         if len(blocks) > 1:
             del b, shared._value  # read again from disk when next needed
     on = np.cumsum(mark[:-1]) > 0
     spans = []
-    for d, (a, e) in enumerate(zip(base[:-1], base[1:])):
+    for d, (a, n) in enumerate(zip(index.start.tolist(), sizes)):
         if items[d]:
-            flips = np.flatnonzero(np.diff(np.concatenate([[0], on[a:e].astype(np.int8), [0]])))
+            flips = np.flatnonzero(np.diff(np.concatenate([[0], on[a : a + n].astype(np.int8), [0]])))
             spans.append(list(zip(flips[::2].tolist(), flips[1::2].tolist())))
         else:
             spans.append([])
-    return sizes, spans, items
+    return spans, items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of words, end exclusive) and items."""
+def index(docs: DataFrame) -> DataFrame:
+    """doc_ids (of a shard's documents, in order), words (of the shard, joined by spaces), payload: one row a shard."""
+
+    def make():
+        def kernel(c):
+            fm, numbers, sizes = build(c["text"])
+            yield {"doc_ids": [c["doc_id"]], "words": [b" ".join(numbers)], "payload": [fm.dump(sizes=np.array(sizes, np.int64))]}
+
+        return kernel
+
+    return map_batches(with_only(docs, doc_id="long", text="string"), make, "doc_ids array<long>, words binary, payload binary")
+
+
+def search(shards: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of words, end exclusive) and items, from the indexes."""
     blocks = blocks_of(benchmark, size)
 
     def make():
         def kernel(c):
-            sizes, spans, items = find(c["text"], blocks)
-            hit = [sum(e - a for a, e in s) for s in spans]
-            names = [sorted(i) for i in items]
-            yield {
-                "doc_id": c["doc_id"], "n_words": sizes, "n_hit": hit, "n_items": [len(i) for i in names], "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in names],
-                "contaminated": [h > 0 for h in hit], "spans": [[{"start": a, "end": e} for a, e in s] for s in spans], "items": names,
-            }
+            for ids, words, payload in zip(c["doc_ids"], c["words"], c["payload"]):
+                fm, more = FMIndex.load(payload)
+                sizes = more["sizes"].tolist()
+                spans, items = find(fm, {w: i for i, w in enumerate(words.split(b" "), 1)} if words else {}, sizes, blocks)
+                names = [sorted(i) for i in items]
+                hit = [sum(e - a for a, e in s) for s in spans]
+                yield {
+                    "doc_id": ids, "n_words": sizes, "n_hit": hit, "n_items": [len(i) for i in names], "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in names],
+                    "contaminated": [h > 0 for h in hit], "spans": [[{"start": a, "end": e} for a, e in s] for s in spans], "items": names,
+                }
 
         return kernel
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>, items array<string>"
-    return map_batches(with_only(docs, doc_id="long", text="string"), make, schema)
+    return map_batches(shards, make, schema, text="payload")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """What ``search`` gives, by way of a table of the shards' indexes."""
+    return search(stored(index(docs)), benchmark, size)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents (with their columns) without the merged spans; a text of which nothing is left goes."""
+    """The documents (with the columns of documents) without the merged spans; a text of which nothing is left goes.
+    Each shard's index is built, searched and dropped beside its texts, which so need no shuffle."""
     blocks = blocks_of(benchmark, size)
 
     def make():
         def kernel(c):
             out = {k: [] for k in c}
-            for i, spans in enumerate(find(c["text"], blocks)[1]):
+            for i, spans in enumerate(find(*build(c["text"]), blocks)[0]):
                 text = c["text"][i]
                 if spans:
                     places = [m.span() for m in WORD.finditer(text.translate(LOWER))]

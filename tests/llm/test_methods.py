@@ -259,7 +259,8 @@ def test_clashing_and_repeated_labels(spark):
 def test_fm_index():
     rng = np.random.default_rng(4)
     runs = [rng.integers(1, 5, rng.integers(1, 60)) for _ in range(40)]
-    index = fmindex.FMIndex(runs, 4)
+    index = fmindex.FMIndex(np.concatenate(runs), np.array([len(r) for r in runs]), 4)
+    index = fmindex.FMIndex.load(index.dump())[0]
     pats = [rng.integers(1, 5, n) for n in (1, 2, 3, 4, 5) for _ in range(20)]
     m = np.zeros((len(pats), 5), np.int64)
     for r, p in enumerate(pats):
@@ -270,6 +271,14 @@ def test_fm_index():
         assert sorted(index.locate(np.arange(a, max(a, b)))) == want
 
 
+def test_suffix_arrays():
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 1), (1, 1), (2, 1), (50, 1), (300, 2), (500, 30)):
+        seq = np.concatenate([rng.integers(5, 5 + top, n), [4], np.tile(rng.integers(5, 5 + top, 20), 6), [3]]) if n else np.zeros(0, np.int64)
+        want = sorted(range(len(seq)), key=lambda i: seq[i:].tolist())
+        assert fmindex.suffix_array(seq).tolist() == want
+
+
 def test_contamination(spark, docs, texts):
     bench = {str(r["item_id"]): r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()} | {"s": "queen"}
 
