@@ -2,9 +2,9 @@
 
 import hashlib
 import itertools
-import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -404,25 +404,82 @@ def test_wrappers(spark):
         assert r["text"] == "\n".join(x for x in parts if x)
 
 
-def test_wrapper_of_unmarked_pages():
-    pages = [f"<body><div class=top-nav>Home About</div><div id=x><h1>T{i}</h1><p>Text {i} &amp; more words to read here</p><div class=q>Same on all pages</div></div><div class=sidebar>s{i}</div><div class=cookie-note>ok?</div></body>" for i in range(6)]
-    w = None
-    for p in pages:
-        v = wrappers.view(wrappers.parse(p))
-        w = v if w is None else wrappers.merge(w, v)
-    assert wrappers.extract(pages[2], w) == "T2\nText 2 & more words to read here"
-
-
-def test_wrappers_of_more_hosts_than_are_held(spark):
-    rows = [(h * 100 + i, f"http://h{h}.org/{i}", f"<body><p>page {i} of {h}</p></body>") for h in range(5) for i in range(1 + 3 * h)]
-    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", wrappers.host_of())
-        got = [(r["host"], json.loads(r["wrapper"])[1]) for r in wrappers.induce(pages, hold=0).collect()]
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
-    assert sorted(got) == [(f"h{h}.org", 1 + 3 * h) for h in range(5)]
+def main_texts(spark, htmls, host="h.org", parts=3):
+    d = spark.createDataFrame([(i, f"http://{host}/{i}", x) for i, x in enumerate(htmls)], "page_id long, url string, html string")
+    return [r["text"] for r in wrappers.main_text(d.repartition(parts)).orderBy("page_id").collect()]
+
+
+def story(rng, n=12):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho", "tau", "phi"]) + str(rng.randint(0, 99)) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [2, 4, 8])
+def test_wrapper_of_unmarked_pages(spark, n):
+    rng = random.Random(n)
+    bodies = [[story(rng) for _ in range(rng.randint(2, 6))] for _ in range(n)]
+    pages = [
+        f"<body><div class=q><a href=/>Home</a> of all stories</div><div id='post-{i}' class='post p{i}'><h1>T{i}</h1>" + "".join(f"<p>{x} &amp; so</p>" for x in b) + "<p>Same notice on all pages</p></div><div>Same rights line</div><ul>" + "".join(f"<li><a href=/{k}>related {story(rng, 2)}</a></li>" for k in range(3)) + "</ul></body>"
+        for i, b in enumerate(bodies)
+    ]
+    want = ["\n".join([f"T{i}", *(f"{x} & so" for x in b)]) for i, b in enumerate(bodies)]
+    assert main_texts(spark, pages) == want == main_texts(spark, pages, parts=1)
+
+
+def test_copies_on_a_host_are_no_template(spark):
+    rng = random.Random(1)
+    text = [story(rng) for _ in range(5)]
+    pages = ["<article>" + "".join(f"<p>{x}</p>" for x in text) + f"<p>{end}</p></article>" for end in ("one", "one", "two")]
+    assert main_texts(spark, pages) == ["\n".join([*text, end]) for end in ("one", "one", "two")]
+
+
+def test_hard_pages():
+    deep = "<div>" * 10_000 + "deep" + "</div>" * 10_000
+    assert wrappers.extract(deep, None) == "deep" and wrappers.extract("<b>" * 10_000 + "bold", None) == "bold"
+    t = wrappers.parse(deep)[0]
+    assert wrappers.match(t, wrappers.parse(deep.replace("deep", "<p>x"))[0])[0] == 10_001
+    assert wrappers.extract('<p title="x>hello</p><p>more</p>', None) == "hello\nmore" and wrappers.extract("<p title='a>b'>c</p>", None) == "c"
+    assert wrappers.extract("<p>1 < 2 <3 &lt; 4</p><!-- <p>no</p> --><P>y<script>var t='</p>'</script>z", None) == "1 < 2 <3 < 4\nyz"
+    for hard in ('<a "' * 250_000, "<" * 1_000_000, "<a x='" * 150_000, "<!--" * 250_000, "</b>" * 250_000, "<p>" * 300_000, '<a b="c" ' * 100_000, "<script>" * 100_000):
+        began = time.perf_counter()
+        wrappers.extract(hard, None)
+        assert time.perf_counter() - began < 3
+
+
+def test_tree_matching_by_brute_force():
+    rng = random.Random(7)
+
+    def tree(n):
+        labels, parents = ["html"], [-1]
+        for i in range(1, n):
+            parents.append(rng.randrange(max(0, i - 3), i))
+            labels.append(rng.choice(["a", "b", "c", "a.x.y", "a.x", "b.z"]))
+        kids = [[k for k in range(n) if parents[k] == i] for i in range(n)]
+        return wrappers.Tree.ordered(labels, kids, [1] * n)[0]
+
+    def size(a, b, x, y):
+        if not wrappers.alike(a.labels[x], b.labels[y]):
+            return 0
+        table = [[0] * (len(b.kids[y]) + 1) for _ in range(len(a.kids[x]) + 1)]
+        for i, c in enumerate(a.kids[x]):
+            for j, d in enumerate(b.kids[y]):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + size(a, b, c, d))
+        return 1 + table[-1][-1]
+
+    for _ in range(200):
+        a, b = tree(rng.randint(1, 12)), tree(rng.randint(1, 12))
+        assert wrappers.match(a, b)[0] == size(a, b, 0, 0)
+        both = wrappers.merge(a, b)
+        assert wrappers.Tree.read(both.text).text == both.text and sum(both.counts) == len(a.labels) + len(b.labels)
+
+
+def test_one_wrapper_a_host_however_split(spark, monkeypatch):
+    rows = [(h * 100 + i, f"http://h{h}.org/{i}", f"<body><p>page {i} of {h}</p><div class=c{i % 3}x>{i}</div></body>") for h in range(5) for i in range(1 + 3 * h)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", wrappers.host_of())
+    a, b = (sorted(map(tuple, wrappers.learn(pages.repartition(n)).collect())) for n in (1, 6))
+    assert a == b and [(h, wrappers.Wrapper(r).tree.counts[0]) for h, r in a] == [(f"h{h}.org", 1 + 3 * h) for h in range(5)]
+    small = sorted(map(tuple, wrappers.main_text(pages).collect()))
+    monkeypatch.setattr(wrappers, "SMALL", 0)  # by the join
+    assert sorted(map(tuple, wrappers.main_text(pages).collect())) == small
 
 
 def components_by_brute_force(texts):
