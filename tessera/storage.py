@@ -37,7 +37,13 @@ def stored(df: DataFrame, codec: str = "zstd", instead_of: DataFrame | None = No
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    if (old := getattr(instead_of, "_stored_at", None)) is not None:
-        folder, system = _hadoop(spark, old)
-        system.delete(folder, True)
+    if instead_of is not None:
+        discard(instead_of)
     return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that ``stored`` gave; what was made of it and not yet stored is lost."""
+    if (path := getattr(df, "_stored_at", None)) is not None:
+        folder, system = _hadoop(df.sparkSession, path)
+        system.delete(folder, True)
