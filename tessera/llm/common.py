@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..storage import shared_dir, stored  # noqa: F401  the operators take them from here
+from ..storage import discard, shared_dir, stored  # noqa: F401  the operators take them from here
 
 #: Rows are handed to the kernels in groups of about so many characters, to bound a worker's memory.
 CHUNK_CHARS = 4_000_000

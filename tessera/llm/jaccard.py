@@ -1,18 +1,25 @@
 """Op 10: n-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
-A document's set holds the hashes (64 bits) of its distinct five-word shingles; all documents with one set share a
-signature and count once. Shingles have one global order, those repeated across many documents last. If two sets
-reach the threshold, their prefixes of n - ceil(t n) + l shingles share l of them, for any l up to ceil(t n). Each
-document chooses its l by the estimated cost of its candidates: a longer prefix meets more documents, but as many
-more shared shingles are asked for, so fewer are verified; a pair is held to the smaller l of the two.
-
-Shingles in two or more different sets give families: all that share the shingle's least signature. Every candidate
-pair is in a family, and left to the first of those that it is in. A family is split into blocks, and each pair of blocks is compared in one task, first by
-counts of shared prefix shingles, then, for documents that have candidates, by whole sets read again from the
-texts. Only a forest of verified links leaves a task. No family, bucket or partner is cut off.
+A document's set holds the hashes (64 bits) of its distinct five-word shingles; all documents with one set (128 bits
+of signature) form a class, which counts once, by its least doc_id. Shingles have one global order, those repeated
+across many documents last. If two sets reach the threshold, their prefixes of n - ceil(t n) + l shingles share l of
+them, for any l up to ceil(t n). Each document chooses its l by the estimated cost of its candidates: a longer prefix
+meets more documents, but as many more shared shingles are asked for, so fewer are verified; a pair is held to the
+smaller l of the two.
+
+Shingles in two or more classes give families: all that share the shingle's least document. Every candidate pair is
+in a family, and left to the first of those that it is in. A family is split by lengths, as only neighbouring lengths
+can reach the threshold, and these into blocks of at most BLOCK documents and about BUDGET shingles; each pair of
+blocks that may link is compared in one task, first by counts of shared prefix shingles, then, for documents that have
+candidates, by the words of their whole texts, without hashes. Only a forest of verified links leaves a task. No
+family, bucket or partner is cut off. Classes come back to their documents by a join; the few (HEAVY at most) that
+hold a large share of all rows are broadcast, so that no group of copies lands in one task.
 
 Nulls: a null text and one without words are empty: 0 shingles, linked with nothing, their own component. A null
-doc_id is kept, and takes part in the component of its text. Repeated rows share their component.
+doc_id is kept; it takes part in the component of its text, null if no document with an id has that text. Texts count
+whole, however long; a pair at the threshold exactly is linked. Repeated rows share their component; of a doc_id with
+several texts each row is in the component of its own text. Empty tables give empty results; extra columns are left
+out.
 """
 
 from __future__ import annotations
@@ -23,11 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_groups, stored, with_only
+from .common import discard, map_batches, map_groups, stored, with_only
 
 WORDS, PERCENT = 5, 80
 #: Most shared shingles that are asked for; documents in a block; known frequent shingles (only the order depends on them).
 MOST_L, BLOCK, FREQUENT = 4, 128, 200_000
+BUDGET, HEAVY = 2_000_000, 10_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 
@@ -75,13 +83,34 @@ def shingles(texts: list[str | None], size: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> int:
-    """Of a set, as a signed 64-bit number; 0 only for the empty set."""
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """Of a set, as two signed 64-bit numbers; (0, 0) for the empty set."""
     if not len(s):
-        return 0
-    x = (s ^ (s >> U(31))) * MIX
+        return 0, 0
+    x, y = (s ^ (s >> U(31))) * MIX, (s ^ (s >> U(27))) * U(0x94D049BB133111EB)
     h = (x.sum(dtype=U) * U(0xC2B2AE3D27D4EB4F)) ^ np.bitwise_xor.reduce(s) ^ U(len(s))
-    return int(h.astype(np.int64)) or 1
+    g = ((y ^ (y >> U(29))).sum(dtype=U) * MIX) ^ np.bitwise_xor.reduce(y)
+    return int(h.astype(np.int64)), int(g.astype(np.int64))
+
+
+def word_sets(texts: list[str | None], size: int = WORDS) -> list[np.ndarray]:
+    """The shingle sets of one task's texts as numbers that stand for the words themselves."""
+    numbers: dict[bytes, int] = {}
+    short: dict[tuple, int] = {}
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    flat = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in words for w in ws), np.int64, sum(map(len, words)))
+    code = flat[: max(0, len(flat) - size + 1)]
+    for k in range(1, size):
+        code = np.unique(code * np.int64(len(numbers)) + flat[k : k + len(code)], return_inverse=True)[1].astype(np.int64)
+    out, at = [], 0
+    for ws in words:
+        n = len(ws)
+        if n >= size:
+            out.append(np.unique(code[at : at + n - size + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(tuple(ws), len(short))] if n else [], np.int64))
+        at += n
+    return out
 
 
 def _quiet(f):
@@ -104,7 +133,7 @@ def frequent(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
 
     def make():
         def kernel(c):
-            sets = {signature(s): s for s in shingles(c["text"])}
+            sets = {signature(s): s for s in shingles(c["text"])} or {(0, 0): np.zeros(0, U)}
             token, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
             keep = count >= 3
             yield {"token": token[keep].astype(np.int64).tolist(), "n": count[keep].tolist()}
@@ -117,7 +146,7 @@ def frequent(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """doc_id, sig, n, and the prefix for the largest l, in the global order."""
+    """doc_id, sig, sig2, n, and the prefix for the largest l, in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def make():
@@ -143,27 +172,34 @@ def prefixes(docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataF
                 else:
                     rare = s[:k]
                 prefix.append(rare.astype(np.int64).tolist())
-            yield {"doc_id": c["doc_id"], "sig": [signature(s) for s in sets], "n": [len(s) for s in sets], "prefix": prefix}
+            sig = [signature(s) for s in sets]
+            yield {"doc_id": c["doc_id"], "sig": [x for x, _ in sig], "sig2": [x for _, x in sig], "n": [len(s) for s in sets], "prefix": prefix}
 
         return kernel
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, sig long, n long, prefix array<long>")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, sig long, sig2 long, n long, prefix array<long>")
+
 
+def classes_of(pre: DataFrame) -> DataFrame:
+    """sig, sig2, rows, doc_id (the least), n, prefix of each class of equal sets."""
+    one = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "prefix"))
+    return pre.filter("n > 0").groupBy("sig", "sig2").agg(F.min(one).alias("m"), F.count("*").alias("rows")).select("sig", "sig2", "rows", "m.doc_id", "m.n", "m.prefix")
 
-def families(pre: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """hub, sig, n, l, all its hubs, tokens, levels (the least l at which each is in the prefix) of all that may have a candidate."""
-    each = pre.filter("n > 0").select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
-    met = each.groupBy("token").agg(F.count("*").alias("df"), F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").drop("top")
+
+def families(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """hub, doc_id, sig, n, l, all its hubs, tokens, levels (the least l at which each is in the prefix) of all that may have a candidate."""
+    each = classes.filter("doc_id is not null").select("doc_id", "sig", "n", F.posexplode("prefix").alias("pos", "token"))
+    met = each.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub <> top").drop("top")
     rows = each.join(met.hint("shuffle_hash"), "token")
-    own = rows.groupBy("sig", "n").agg(F.collect_set(F.struct("pos", "token", "df", "hub")).alias("t"))
+    own = rows.groupBy("doc_id", "sig", "n").agg(F.collect_set(F.struct("pos", "token", "df", "hub")).alias("t"))
 
     def part(name):
         return F.transform("t", lambda x: x[name]).alias(name)
 
     def make():
         def kernel(c):
-            out = {k: [] for k in ("sig", "n", "l", "hubs", "tokens", "levels")}
-            for sig, n, pos, token, df, hub in zip(*[c[k] for k in ("sig", "n", "pos", "token", "df", "hub")]):
+            out = {k: [] for k in ("doc_id", "sig", "n", "l", "hubs", "tokens", "levels")}
+            for doc, sig, n, pos, token, df, hub in zip(*[c[k] for k in ("doc_id", "sig", "n", "pos", "token", "df", "hub")]):
                 level = np.maximum(1, np.array(pos) - (n - required(n, percent) + 1) + 2)
                 df, most = np.array(df, float), min(MOST_L, required(n, percent))
                 met_by = [df[level <= k].sum() for k in range(1, most + 1)]
@@ -171,22 +207,32 @@ def families(pre: DataFrame, percent: int = PERCENT) -> DataFrame:
                 l = 1 + int(np.argmin([x * (1 + (n / 50 + 4) / k) for k, x in enumerate(met_by, 1)]))
                 keep = np.flatnonzero(level <= l)
                 if any((level <= k).sum() >= k for k in range(1, l + 1)):
-                    for k, v in zip(out, (sig, n, l, sorted({hub[x] for x in keep}), [token[x] for x in keep], level[keep].tolist())):
+                    for k, v in zip(out, (doc, sig, n, l, sorted({hub[x] for x in keep}), [token[x] for x in keep], level[keep].tolist())):
                         out[k].append(v)
             yield out
 
         return kernel
 
-    chosen = map_batches(own.select("sig", "n", *map(part, ("pos", "token", "df", "hub"))), make, "sig long, n long, l int, hubs array<long>, tokens array<long>, levels array<int>", text=None)
-    return stored(chosen).select(F.explode("hubs").alias("hub"), "sig", "n", "l", "hubs", "tokens", "levels")
+    chosen = map_batches(own.select("doc_id", "sig", "n", *map(part, ("pos", "token", "df", "hub"))), make, "doc_id long, sig long, n long, l int, hubs array<long>, tokens array<long>, levels array<int>", text=None)
+    return stored(chosen).select(F.explode("hubs").alias("hub"), "doc_id", "sig", "n", "l", "hubs", "tokens", "levels")
 
 
-def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Members of families of two or more, once for each pair of blocks that their own block is in: i <= j, mine."""
-    sizes = members.groupBy("hub").count().filter("count > 1").select("hub", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    m = members.join(sizes.hint("shuffle_hash"), "hub").withColumn("mine", F.pmod(F.xxhash64("sig", "hub"), "blocks").cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("mine", c).alias("i"), F.greatest("mine", c).alias("j"))))
-    return m.withColumn("pair", pair).select("hub", "pair.i", "pair.j", *[c for c in m.columns if c not in ("hub", "blocks")])
+def blocked(members: DataFrame, block: int = BLOCK, percent: int = PERCENT, budget: int = BUDGET) -> DataFrame:
+    """Members of families, once for each pair of blocks that their own block is in and that may hold a link: i <= j,
+    mine. A block's number is its step of length (a factor of 100 / percent) times 2**32, and its place in that step."""
+    width = float(np.log(100 / percent))
+    m = members.withColumn("step", F.floor(F.log("n") / width).cast("long"))
+    most = F.greatest(F.lit(2.0), F.least(F.lit(float(block)), budget / F.exp((F.col("step") + 1) * width)))
+    sizes = m.groupBy("hub", "step").count().select("hub", F.struct("step", "count", F.ceil(F.col("count") / most).cast("long").alias("blocks")).alias("x"))
+    sizes = sizes.groupBy("hub").agg(F.collect_list("x").alias("sizes")).filter("size(sizes) > 1 or sizes[0].count > 1")
+    m = m.join(sizes.hint("shuffle_hash"), "hub")
+    near = F.filter("sizes", lambda x: F.abs(x["step"] - F.col("step")) <= 1)
+    alone = F.exists("sizes", lambda x: (x["step"] == F.col("step")) & (x["count"] == 1))
+    here = F.filter("sizes", lambda x: x["step"] == F.col("step"))[0]["blocks"]
+    m = m.withColumn("mine", F.col("step") * (1 << 32) + F.pmod(F.xxhash64("doc_id", "sig", "hub"), here))
+    others = F.flatten(F.transform(near, lambda x: F.when((x["step"] == F.col("step")) & alone, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda k: x["step"] * (1 << 32) + k))))
+    pair = F.explode(F.transform(others, lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"))))
+    return m.withColumn("pair", pair).select("hub", "pair.i", "pair.j", *[c for c in m.columns if c not in ("hub", "sizes", "step")])
 
 
 def overlaps(sets: list, least: int = 2, width: int = 4096) -> np.ndarray:
@@ -217,42 +263,44 @@ def _across(c: dict[str, list]) -> np.ndarray:
 
 
 def with_candidates(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """hub, i, j, mine, sig of the documents that share enough prefix shingles with one of fitting size."""
+    """hub, i, j, mine, doc_id, sig of the documents that share enough prefix shingles with one of fitting size."""
 
     def make():
         def kernel(c):
             n, l = np.array(c["n"], np.int64), np.array(c["l"])
             fits = _across(c) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-            fits &= overlaps([[h for h in hs if h < c["hub"][0]] for hs in c["hubs"]]) == 0  # a pair is its first family's
+            if fits.any():
+                fits &= overlaps([[h for h in hs if h < c["hub"][0]] for hs in c["hubs"]]) == 0  # a pair is its first family's
             both, found = np.minimum(l[:, None], l), np.zeros(fits.shape, bool)
             if fits.any():
                 for k in np.unique(both[fits]):
                     shared = overlaps([[t for t, x in zip(ts, ls) if x <= k] for ts, ls in zip(c["tokens"], c["levels"])])
                     found |= fits & (both == k) & (shared >= k)
             at = np.flatnonzero(found.any(1))
-            return {k: [c[k][x] for x in at] for k in ("hub", "i", "j", "mine", "sig")}
+            return {k: [c[k][x] for x in at] for k in ("hub", "i", "j", "mine", "doc_id", "sig")}
 
         return kernel
 
-    return map_groups(blocks, ["hub", "i", "j"], make, "hub long, i int, j int, mine int, sig long")
+    return map_groups(blocks, ["hub", "i", "j"], make, "hub long, i long, j long, mine long, doc_id long, sig long")
 
 
 def verified(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: a forest of the links in each task. groups: hub, i, j, mine, sig, text."""
+    """a, b: a forest of the links in each task. groups: hub, i, j, mine, doc_id, sig, text."""
 
     def make():
         def kernel(c):
-            sets = shingles(c["text"])
-            good = [k for k, s in enumerate(sets) if signature(s) == c["sig"][k]]  # a doc_id may have had two texts
-            first = {c["sig"][k]: k for k in reversed(good)}
-            at = sorted(first.values())
-            c = {k: [v[x] for x in at] for k, v in c.items()}
-            sets = [sets[x] for x in at]
+            keys = list(zip(c["doc_id"], c["sig"]))
+            if len(set(keys)) < len(keys):  # a doc_id had several rows: the class's text is the one of its signature
+                hashed = shingles(c["text"])
+                first = {keys[k]: k for k in reversed(range(len(keys))) if signature(hashed[k])[0] == c["sig"][k]}
+                at = sorted(first.values())
+                c = {k: [v[x] for x in at] for k, v in c.items()}
+            sets = word_sets(c["text"])
             n = np.array([len(s) for s in sets], np.int64)
             shared = overlaps(sets).astype(np.int64)
-            links = _across(c) & (100 * shared >= percent * (n[:, None] + n - shared)) if at else np.zeros((0, 0), bool)
-            out, seen = {"a": [], "b": []}, np.zeros(len(at), bool)
-            for root in sorted(range(len(at)), key=lambda x: c["sig"][x]):
+            links = _across(c) & (100 * shared >= percent * (n[:, None] + n - shared)) if sets else np.zeros((0, 0), bool)
+            out, seen = {"a": [], "b": []}, np.zeros(len(sets), bool)
+            for root in sorted(range(len(sets)), key=lambda x: c["doc_id"][x]):
                 todo = [] if seen[root] else [root]
                 seen[root] = True
                 while todo:
@@ -260,8 +308,8 @@ def verified(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
                     for y in np.flatnonzero(links[x] & ~seen):
                         seen[y] = True
                         todo.append(int(y))
-                        out["a"].append(c["sig"][y])
-                        out["b"].append(c["sig"][root])
+                        out["a"].append(c["doc_id"][y])
+                        out["b"].append(c["doc_id"][root])
             return out
 
         return kernel
@@ -279,7 +327,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stored(large)
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = stored(large.join(small, "u").select("v", "m").union(small.select("u", "m")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        new = large.join(small, "u").select("v", "m").union(small.select("u", "m")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges, old = stored(new, instead_of=large), edges
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
@@ -290,22 +340,26 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     d = with_only(docs, doc_id="long", text="string")
     pre = stored(prefixes(d, frequent(d), percent))
-    near = stored(with_candidates(blocked(families(pre, percent)), percent))
-    ids = pre.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    wanted = near.select("sig").distinct().join(ids, "sig")
-    texts = d.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.sig", "d.text")
-    edges = verified(near.join(texts, "sig").select("hub", "i", "j", "mine", "sig", "text"), percent)
+    classes = stored(classes_of(pre))
+    near = stored(with_candidates(blocked(families(classes, percent), percent=percent), percent))
+    texts = d.join(near.select("doc_id").distinct(), "doc_id")
+    edges = verified(near.join(texts, "doc_id").select("hub", "i", "j", "mine", "doc_id", "sig", "text"), percent)
     roots = components(edges)
-    roots = roots.union(roots.select(F.col("root").alias("v"), "root").distinct())
-    least = roots.join(ids, roots["v"] == ids["sig"]).groupBy("root").agg(F.min("doc_id").alias("least"))
-    of = roots.join(least, "root").select(F.col("v").alias("sig"), "least")
-    of = ids.join(of, "sig", "left").select("sig", F.coalesce("least", "doc_id").alias("component_id"))
-    out = pre.select("doc_id", "n", "sig").join(of, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of = classes.select("sig", "sig2", "rows", "doc_id").join(roots, F.col("doc_id") == F.col("v"), "left").select("sig", "sig2", "rows", F.coalesce("root", "doc_id").alias("root"), (F.col("rows") > 1).alias("copied"), F.col("root").isNotNull().alias("linked"))
+    of = stored(of.filter("copied or linked").select("sig", "sig2", "rows", "root"))
+    # Each of the heavy classes holds one in HEAVY of all rows or more, so there are HEAVY of them at most.
+    total, rows = pre.count(), pre.select("doc_id", "n", "sig", "sig2")
+    is_heavy = F.col("rows") * HEAVY >= total
+    heavy, light = F.broadcast(of.filter(is_heavy).drop("rows")), of.filter(~is_heavy).drop("rows")
+    empty = rows.filter("n = 0").withColumn("root", F.col("doc_id"))
+    some = rows.filter("n > 0")
+    mass = some.join(heavy, ["sig", "sig2"]).select("doc_id", "n", "sig", "sig2", "root")
+    rest = some.join(heavy, ["sig", "sig2"], "left_anti").join(light, ["sig", "sig2"], "left").select("doc_id", "n", "sig", "sig2", F.coalesce("root", "doc_id").alias("root"))
+    return empty.unionByName(mass).unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents (with their columns) that are the first of their component; of repeated rows of one doc_id all stay."""
+    """The documents (with the columns of documents) that are the first of their component; of repeated rows of one doc_id all stay."""
     d = with_only(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long")
-    stay = link(d, percent).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return d.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
+    gone = link(d, percent).filter("doc_id <> component_id").select("doc_id").distinct()
+    return d.join(gone, "doc_id", "left_anti")

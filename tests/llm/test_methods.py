@@ -523,11 +523,43 @@ def test_near_duplicates(spark):
     assert got == want and len({c for _, c in want.values()}) > 100 and old == jaccard.BLOCK
 
 
-def test_blocks_cover_all_pairs(spark):
-    m = spark.createDataFrame([(1, i) for i in range(50)], "hub long, sig long")
-    b = jaccard.blocked(m, block=10).collect()
-    met = {}
-    for r in b:
-        met.setdefault((r["i"], r["j"]), []).append((r["mine"], r["sig"]))
-    pairs = {frozenset((a, c)) for (i, j), x in met.items() for p, a in x for q, c in x if a != c and ((p != q) if i != j else True)}
-    assert len(pairs) == 50 * 49 // 2
+def test_blocks_cover_all_pairs_that_may_link(spark):
+    n = {i: 3 + i * i % 40 for i in range(90)}
+    m = spark.createDataFrame([(1 + i % 2, i, 7, k) for i, k in n.items()], "hub long, doc_id long, sig long, n long")
+    for block, budget in ((10, 10**9), (128, 60)):
+        met = {}
+        for r in jaccard.blocked(m, block=block, budget=budget).collect():
+            met.setdefault((r["hub"], r["i"], r["j"]), []).append((r["mine"], r["doc_id"]))
+        assert block == 128 or all(len(x) <= 3.5 * block for x in met.values())
+        pairs = [frozenset((a, c)) for (_, i, j), x in met.items() for p, a in x for q, c in x if a < c and ((p != q) if i != j else True)]
+        assert len(pairs) == len(set(pairs))
+        assert set(pairs) >= {frozenset((a, c)) for a in n for c in n if a < c and a % 2 == c % 2 and 100 * min(n[a], n[c]) >= 80 * max(n[a], n[c])}
+
+
+def test_word_sets_are_exact():
+    rng = random.Random(2)
+    texts = [None, "", "a b", "A  b", "b a", *(" ".join(rng.choice("ab") for _ in range(rng.randint(3, 40))) for _ in range(60))]
+    sets = jaccard.word_sets(texts)
+    want = []
+    for t in texts:
+        w = (t or "").lower().split()
+        want.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    assert all(len(a) == len(b) for a, b in zip(sets, want))
+    for i in range(len(texts)):
+        assert [len(np.intersect1d(sets[i], x)) for x in sets] == [len(want[i] & x) for x in want]
+    assert [len(s) for s in jaccard.shingles(texts)] == [len(x) for x in want]
+
+
+def test_heavy_copies_and_ids_with_several_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(50)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    one, two, far = text(40), text(40), text(40)
+    rows = [(i, one) for i in range(30)] + [(40, one + " more"), (41, two), (41, one), (42, two + " more"), (50, far), (50, far), (None, far), (None, text(30)), (51, "far away")]
+    want = {(i, 0) for i in range(30)} | {(40, 0), (41, 0), (41, 41), (42, 41), (50, 50), (51, 51)}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for heavy in (10_000, 5):
+        monkeypatch.setattr(jaccard, "HEAVY", heavy)
+        got = jaccard.link(d).collect()
+        assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+        assert sorted((r["component_id"] or 0) for r in got if r["doc_id"] is None) == [0, 50]
