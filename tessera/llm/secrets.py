@@ -4,9 +4,11 @@ From each rule's regular expression a Boolean query over lower-case trigrams is
 stretch of which all strings are known). The index maps each trigram of the queries to the sorted keys of the texts
 that hold it, in shards of about SHARD texts; queries intersect and unite posting lists, and only candidates are
 verified by the regular expression itself. A rule without a mandatory trigram scans every text. A key is a hash of
-the text, so copies share a posting, and a collision only adds a candidate.
+the doc_id and the text, so copies are spread like other texts; a collision only adds a candidate.
 
-Nulls: a null text is empty and has no spans. Repeated rows are scanned one by one; empty tables give empty results.
+Nulls: a null text is empty and has no spans; a null doc_id is kept. Whole texts are scanned, however long; of matches
+of one kind the leftmost counts, and of different kinds all do, ties at one place in the order of the rules. Repeated
+rows are scanned one by one; empty tables give empty results; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -112,15 +114,15 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return out
 
 
-def _key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _key() -> Column:
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
 
 
 def postings(docs: DataFrame, trigrams: list[str], shards: int) -> DataFrame:
     """shard, index: a map from trigram to the keys of the shard's texts that hold it."""
     low = F.lower("text")
     held = F.filter(F.array(*[F.when(low.contains(t), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
-    rows = docs.filter("text <> ''").select(_key(F.col("text")).alias("key"), F.explode(held).alias("trigram"))
+    rows = docs.filter("text <> ''").select(_key().alias("key"), F.explode(held).alias("trigram"))
     lists = rows.groupBy((F.pmod("key", F.lit(shards))).alias("shard"), "trigram").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     return lists.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("index"))
 
@@ -175,7 +177,7 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
 def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with ``found``: an array of the spans of each rule, in the order of the rules."""
     may = candidates(docs, rules)
-    d = docs.withColumn("key", _key(F.col("text"))).join(may, "key", "left")
+    d = docs.withColumn("key", _key()).join(may, "key", "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = []
     for i, r in enumerate(rules):
