@@ -1,13 +1,20 @@
 """A training corpus from raw documents, in five stages over the whole table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return doc_id, text, lang, source, n_chars, the columns of documents; any further
+column of the input, whatever its name, is left out by the first stage.
 
-1. language: documents without an identified language go.
-2. near_duplicates: of each component of near duplicates the document of the least id stays.
+1. language: documents without an identified language go; so do null and empty texts, which have none.
+2. near_duplicates: of each component of near duplicates the document of the least id stays; rows of a null id stay.
 3. decontaminate: passages of the benchmark are cut out; a document of which nothing is left goes.
 4. secrets: secrets in the texts are masked.
 5. pack: the remaining documents are packed into sequences of token ids.
+
+Nulls in lang, source and n_chars are kept; n_chars follows a text that changes, if it is not null. Texts are taken
+whole by every stage, however long. Repeated rows of one doc_id stay together in every stage and are packed one by
+one. Ties (languages, copies, equal lengths) go by name, by the least id, and by the order of tasks. An empty table
+gives an empty result in each stage; without any labelled text, or on a table of nothing but nulls, stage 1 keeps
+nothing.
 """
 
 from __future__ import annotations
