@@ -4,13 +4,15 @@ A container is a Parquet table of independent blocks (so any store that Spark wr
 makes retried tasks safe). One shared frequency table, normalised to 2**SCALE slots, codes all blocks. A block
 holds whole documents in ascending id order; its ids are dealt to up to LANES interleaved coders, one 64-bit state
 each, that emit 32-bit words into one stream. Every CHECKPOINT steps the states and the place in the stream are
-kept, so that parts of a block can be decoded side by side. Block payload, little-endian::
+kept, and the parts of a block between them are decoded side by side. Block payload, little-endian::
 
     magic "TRB1" | u4 lanes | u4 steps | u8 tokens | u4 documents | u4 checkpoints | u4 words | u4 crc32 of ids | u4 crc32 of the rest
     i8 doc ids, u1 id present, u4 token counts | per checkpoint: u4 word place, u8 * lanes states | u4 words
 
 Nulls: a null text is empty; a null doc_id sorts first and stays null. Repeated rows are kept, one document each,
-ordered by (doc_id, crc32 of their ids, number of ids). Empty tables give an empty container.
+ordered by (doc_id, crc32 of their ids, number of ids); rows that tie in these have equal ids or are told apart by
+no one. A document of any length lies whole in one block, which then is longer. Names of special tokens in a text
+become these tokens' ids, as the library does it. Empty tables give an empty container; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -89,27 +91,33 @@ def encode_block(ids: np.ndarray, docs: list[tuple[int | None, int]], table: Fre
     return HEAD.pack(b"TRB1", lanes, steps, n, len(docs), len(marks), len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 
-def decode_part(words: np.ndarray, x: np.ndarray, at: int, first: int, last: int, n: int, table: Frequencies) -> np.ndarray:
-    """Ids of the steps first..last-1, from the states at step ``first`` and the place in the stream there."""
-    lanes = len(x)
-    out = np.empty(min(n, last * lanes) - first * lanes, np.uint32)
+def decode_parts(words: np.ndarray, states: np.ndarray, at: np.ndarray, steps: int, n: int, table: Frequencies) -> np.ndarray:
+    """All ids of a block: the parts behind its checkpoints are decoded side by side, step by step, each from its own
+    states (one row a part) and place in the stream."""
+    parts, lanes = states.shape
+    out = np.zeros((parts, CHECKPOINT, lanes), np.uint32)
     mask = U8((1 << SCALE) - 1)
-    for t in range(first, last):
-        k = min(n, (t + 1) * lanes) - t * lanes
-        live = x[:k]
+    x, at = states.copy(), at.copy()
+    last = steps - (parts - 1) * CHECKPOINT  # steps of the last part; its last step may have fewer lanes
+    for t in range(min(CHECKPOINT, steps)):
+        on = parts if t < last else parts - 1
+        live = x[:on]
         slot = live & mask
         s = table.slots[slot]
+        out[:on, t] = s
         live = table.f8[s] * (live >> U8(SCALE)) + slot - table.s8[s]
-        low = np.flatnonzero(live < U8(LOW))
-        live[low] = (live[low] << U8(32)) | words[at : at + len(low)].astype(U8)
-        at += len(low)
-        x[:k] = live
-        out[(t - first) * lanes : (t - first) * lanes + k] = s
-    return out
+        low = live < U8(LOW)
+        if on == parts and t == last - 1 and n % lanes:
+            low[-1, n % lanes :] = False
+        place = at[:on, None] + np.cumsum(low, axis=1) - 1
+        live[low] = (live[low] << U8(32)) | words[place[low]].astype(U8)
+        at[:on] += low.sum(axis=1)
+        x[:on] = live
+    return out.reshape(-1, lanes).ravel()[:n]
 
 
 def decode_block(payload: bytes, table: Frequencies) -> tuple[np.ndarray, list[tuple[int | None, int]]]:
-    """(ids, docs) of a block; each checkpoint's part is decoded by itself. Raises ValueError on damage."""
+    """(ids, docs) of a block. Raises ValueError on damage."""
     magic, lanes, steps, n, n_docs, n_marks, n_words, crc_ids, crc_body = HEAD.unpack_from(payload)
     body = memoryview(payload)[HEAD.size :]
     if magic != b"TRB1" or zlib.crc32(body) != crc_body:
@@ -122,8 +130,7 @@ def decode_block(payload: bytes, table: Frequencies) -> tuple[np.ndarray, list[t
         marks.append((struct.unpack_from("<I", body, place)[0], np.frombuffer(body, "<u8", lanes, place + 4).astype(U8)))
         place += 4 + 8 * lanes
     words = np.frombuffer(body, "<u4", n_words, place)
-    parts = [decode_part(words, x, at, k * CHECKPOINT, min(steps, (k + 1) * CHECKPOINT), n, table) for k, (at, x) in enumerate(marks)]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    ids = decode_parts(words, np.stack([x for _, x in marks]), np.array([a for a, _ in marks], np.int64), steps, n, table) if marks else np.zeros(0, np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
         raise ValueError("damaged ids")
     return ids, [(int(d) if p else None, int(k)) for d, p, k in zip(doc_ids, there, sizes)]
