@@ -22,21 +22,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) > MIN_SIZE)
 
 
-def token_offsets(text: Column) -> Column:
-    """array<struct<offset,text>> of the same words; offsets are code points."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    gaps = F.slice(F.split(text, TOKEN), F.lit(1), F.size(found))
-    none = F.array().cast("array<struct<offset:int,text:string>>")
-
-    def step(a, x):
-        at = a["pos"] + F.length(x["gap"])
-        one = F.array(F.struct(at.alias("offset"), x["word"].alias("text")))
-        return F.struct((at + F.length(x["word"])).alias("pos"), F.concat(a["out"], one).alias("out"))
-
-    all_ = F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("word")), F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda a: a["out"])
-    return F.filter(all_, lambda t: F.length(t["text"]) > MIN_SIZE)
-
-
 def without_stopwords(words: Column, stopwords=STOPWORDS) -> Column:
     stop = F.array(*map(F.lit, stopwords))
     return F.filter(words, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(stop, F.lower(t)))
@@ -139,19 +124,33 @@ def word2num(s: pd.Series) -> pd.Series:
     return s.map(number_of)
 
 
+#: Letters that stand for more than one, while endings are taken off.
+PAIRS = (("sch", "$"), ("ei", "%"), ("ie", "&"))
+
+
 def german_stem_of(word: str | None) -> str | None:
-    """A light German stem: umlauts folded, ß as ss, a leading ge- and inflection endings off."""
+    """A light German stem: umlauts folded, ß as ss, a leading ge- and inflection endings off. sch, ei and ie count as
+    one letter, the second of two equal letters as one of its own. Punctuation goes but for hyphens; points and commas
+    outside numbers become spaces."""
     if word is None:
         return None
-    w = word.lower().translate(str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss"}))
+    w = re.sub(r"(?<!\d)[.,](?!\d)", " ", word.lower())
+    w = re.sub(r"[!-+/:-@\[-`{-~]", "", w).translate(str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss"}))
     w = re.sub(r"^ge(.{4,})", r"\1", w)
+    for pair, one in PAIRS:
+        w = w.replace(pair, one)
+    w = re.sub(r"(.)\1", r"\1*", w)
     while len(w) > 3:
-        for ending, least in (("em", 5), ("er", 5), ("nd", 5), ("t", 4), ("e", 4), ("s", 4), ("n", 4)):
-            if w.endswith(ending) and len(w) > least:
-                w = w[: -len(ending)]
-                break
-        else:
+        n = len(w)
+        if n > 5 and re.search(r"(e[mr]|nd)$", w):
+            w = w[:-2]
+        elif w[-1] in "tesn":
+            w = w[:-1]
+        if len(w) == n:
             break
+    w = re.sub(r"(.)\*", r"\1\1", w)
+    for pair, one in PAIRS:
+        w = w.replace(one, pair)
     return w
 
 

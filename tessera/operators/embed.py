@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -59,6 +61,7 @@ def sub_pagerank(p: DataFrame, all_: DataFrame, rounds: int = 5, threshold: floa
     e = p.filter(F.col("sim") > threshold if normalised else F.col("sim") >= threshold)
     e = e.join(e.groupBy("doc_id", "entity").agg(F.count("*").alias("out")), ["doc_id", "entity"])
     v = all_.select("doc_id", "sf", "entity").withColumn("base", F.lit(0.15) / F.count("*").over(Window.partitionBy("doc_id")) if normalised else F.lit(0.15))
+    e = stored(e.select("doc_id", "entity", "entity2", "sim", "out"))
     pr = v.withColumn("pr", F.lit(0.1))
     for _ in range(rounds):
         got = e.join(pr.select("doc_id", "entity", "pr"), ["doc_id", "entity"]).groupBy("doc_id", F.col("entity2").alias("entity")).agg(F.sum(F.col("sim") * F.col("pr") / F.col("out")).alias("in"))
@@ -66,6 +69,79 @@ def sub_pagerank(p: DataFrame, all_: DataFrame, rounds: int = 5, threshold: floa
     return pr.drop("base")
 
 
+def added(a: Column, b: Column) -> Column:
+    """Element-wise sum; a null leaves the other; different lengths are an error."""
+    same = F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: x.cast("double") + y.cast("double"))).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("array<double>"))
+    return F.when(b.isNull(), a.cast("array<double>")).when(a.isNull(), b.cast("array<double>")).otherwise(same)
+
+
+def combined(d: DataFrame, key: str, vec: str, combine) -> DataFrame:
+    """key, combined: what ``combine`` makes of the list of a key's vectors."""
+    return d.groupBy(key).agg(F.collect_list(vec).alias("_v")).select(key, combine(F.col("_v")).alias("combined"))
+
+
+def matrix(d: DataFrame, names: list) -> DataFrame:
+    """entity and a column c<name> for each of the named entities: their similarities."""
+    o = d.select(F.col("entity").alias("o"), F.col("vec").alias("o_vec"))
+    each = [F.max(F.when(F.col("o") == n, F.round(similarity(F.col("vec"), F.col("o_vec")), 6))).alias(f"c{n}") for n in names]
+    return d.crossJoin(F.broadcast(o)).groupBy("entity").agg(*each)
+
+
+def most_similar(d: DataFrame, queries: DataFrame, k: int, block: int = 2_000) -> DataFrame:
+    """q, id, sim: the k nearest of all vectors to each query vector (id, vec), itself left out. Queries are taken in
+    blocks, each broadcast and multiplied with each batch of vectors; every batch keeps its best k before they meet."""
+    spark, out = d.sparkSession, None
+    n = queries.count()
+    ranges = queries.repartitionByRange(max(1, -(-n // block)), "id").select("id", "vec", F.spark_partition_id().alias("block")).persist()
+    for part in range(max(1, -(-n // block))):
+        rows = ranges.filter(F.col("block") == part).select("id", "vec").collect()  # a block
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), unit(np.array([r["vec"] for r in rows], float))))
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            ids, q = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column(0).to_numpy()
+                sims = np.abs(q @ unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)).T)
+                sims[ids[:, None] == own[None]] = -1.0
+                top = np.lexsort((np.broadcast_to(own, sims.shape), -sims.round(12)), axis=1)[:, :k]
+                x = np.take_along_axis(sims, top, 1)
+                keep = x >= 0
+                yield pa.RecordBatch.from_pydict({"q": np.repeat(ids, top.shape[1])[keep.ravel()], "id": own[top][keep], "sim": x[keep]})
+
+        best = d.select("id", "vec").mapInArrow(run, "q long, id long, sim double")
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        return spark.createDataFrame([], "q long, id long, sim double")
+    w = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 6)), "id")
+    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def abstain(choices: DataFrame, repeats: int = 500, share: float = 0.4) -> DataFrame:
+    """Drops choices that less than a share of the restarts ended in."""
+    return choices.filter(F.col("score") >= repeats * share)
+
+
+def strategy(name: str, c: DataFrame, rounds: int = 5, threshold: float = 0.5) -> DataFrame:
+    """Ranks of candidates by the named way: map, naive, or optimized (all pairs of forms are edges, the out-degree is
+    the number of candidates of other forms)."""
+    p = pairs(c)
+    if name in ("map", "naive"):
+        return sub_pagerank(p, c, rounds, threshold, normalised=name == "naive")
+    if name != "optimized":
+        raise ValueError(f"no strategy {name!r}")
+    return sub_pagerank(p, c, rounds, 0.0)
+
+
 def hill_climb(c: DataFrame, repeats: int = 500, seed: int = 1337, continuous: bool = False) -> DataFrame:
     """doc_id, sf, entity, score: seeded hill-climbing over one choice for each form of a document.
 

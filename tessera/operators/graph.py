@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -118,3 +120,43 @@ def directions(paths: DataFrame, edges: DataFrame) -> DataFrame:
     s = steps.join(f, (F.col("a") == f["src"]) & (F.col("b") == f["dst"]), "left").drop("src", "dst").join(b, (F.col("a") == b["src"]) & (F.col("b") == b["dst"]), "left")
     code = F.when(F.col("fwd") & F.col("bwd"), "o").when(F.col("fwd"), ">").when(F.col("bwd"), "<").otherwise("x")
     return s.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", code.alias("c")))), lambda x: x["c"]), "").alias("code"))
+
+
+def vicinity(edges: DataFrame, candidates: DataFrame, length: int = 3, sigma: float = 0.5) -> DataFrame:
+    """id, score: over all simple paths of 2 to ``length`` nodes from a candidate to another, (1 - sigma) to the power of its nodes less two."""
+    goal = candidates.select(F.col("id").alias("goal")).distinct()
+    ends = simple_paths(edges, candidates.distinct(), length).join(goal, F.element_at("path", -1) == F.col("goal"), "left_semi")
+    return ends.groupBy(F.col("path")[0].alias("id")).agg(F.sum(F.pow(F.lit(1 - sigma), F.greatest(F.size("path") - 2, F.lit(0)))).alias("score"))
+
+
+def pagerank_of(triples: DataFrame, iterations: int = 40, damping: float = 0.85, start: float = 0.1, literals: bool = False) -> DataFrame:
+    """``pagerank`` of a graph of statements; parallel ones count, literals only if asked for."""
+    if iterations < 1 or not 0 < damping < 1 or start <= 0:
+        raise ValueError("iterations and start must be positive, damping between 0 and 1")
+    t = triples if literals else triples.filter("o_kind <> 'literal'")
+    return pagerank(t.select(F.col("s").alias("src"), F.col("o").alias("dst")), iterations, damping, start)
+
+
+def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, other, way (out, in): the successors and predecessors of nodes."""
+    e = edges.select("src", "dst")
+    out = ids.join(e, F.col("id") == F.col("src")).select("id", F.col("dst").alias("other"), F.lit("out").alias("way"))
+    return out.union(ids.join(e, F.col("id") == F.col("dst")).select("id", F.col("src").alias("other"), F.lit("in").alias("way"))).distinct()
+
+
+def expand(edges: DataFrame, sources: DataFrame, depth: int, prefixes: tuple[str, ...]) -> DataFrame:
+    """src, dst, depth: edges met on the way from the sources whose ends begin with one of ``prefixes``; nodes may be met again."""
+    e = edges.filter(reduce(Column.__or__, [F.col("dst").startswith(p) for p in prefixes])).select("src", "dst").distinct()
+    front, out = sources.select("id").distinct(), None
+    for k in range(1, depth + 1):
+        met = stored(front.join(e, F.col("id") == F.col("src")).select("src", "dst", F.lit(k).alias("depth")))
+        front = met.select(F.col("dst").alias("id")).distinct()
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def by_authority(edges: DataFrame, mentions: DataFrame, rounds: int = 20) -> DataFrame:
+    """mention, id, auth: of each mention's candidates (mention, id) the one of the greatest authority."""
+    ranked = mentions.join(hits(edges, rounds).select("id", F.round("auth", 6).alias("auth")), "id")
+    w = Window.partitionBy("mention").orderBy(F.desc("auth"), "id")
+    return ranked.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("mention", "id", "auth")

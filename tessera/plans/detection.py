@@ -19,13 +19,12 @@ def _dictionary(spark, d) -> DataFrame:
     return D.dictionary(anchors(spark, d).select(F.col("anchor").alias("sf"), F.col("href").alias("entity")))
 
 
-@query("link_documents", SF + "SELECT doc_id, sf, mentions, entity, score FROM (SELECT doc_id, sf, mentions, entity, round(10 * sqrt(n), 6) AS score, row_number() OVER (PARTITION BY doc_id, sf ORDER BY n DESC, entity) AS r FROM tok JOIN sf ON token = sf) WHERE r = 1 AND score >= 10")
+@query("link_documents", SF + "SELECT doc_id, sf, mentions, entity, score FROM (SELECT doc_id, sf, mentions, entity, n, round(10 * sqrt(n), 6) AS score, row_number() OVER (PARTITION BY doc_id, sf ORDER BY n DESC, entity) AS r FROM tok JOIN sf ON token = sf) WHERE r = 1 AND score >= 14")
 def link_documents(spark, d):
-    """Detects surface forms in documents and links each to its candidate of the greatest prior. The best candidate of
-    a form doesn't depend on the document, so it is chosen before the join."""
-    chosen = D.best(_dictionary(spark, d), ["sf"], "n", "entity").withColumn("score", F.round(10 * F.sqrt("n"), 6)).filter("score >= 10")
-    t = D.tokens(table(spark, d, "documents"))
-    return t.join(chosen, t["token"] == chosen["sf"]).select("doc_id", "sf", "mentions", "entity", "score")
+    """Detects surface forms in documents and links each to its candidate of the greatest prior (its number of links),
+    if that has two links. The best candidate of a form doesn't depend on the document, so it is chosen before the join."""
+    chosen = D.best(_dictionary(spark, d), ["sf"], "n", "entity").select("sf", "entity", F.round(10 * F.sqrt("n"), 6).alias("score")).filter("score >= 14")
+    return D.found(table(spark, d, "documents"), chosen).select("doc_id", "sf", "mentions", "entity", "score")
 
 
 @query("sf_dictionary", SF + "SELECT sf, entity, n FROM sf")
@@ -45,18 +44,18 @@ def ambiguity_report(spark, d):
 
 @query("detect_exact", SF + "SELECT doc_id, token AS sf, mentions FROM tok WHERE token IN (SELECT sf FROM sf)")
 def detect_exact(spark, d):
-    t = D.tokens(table(spark, d, "documents"))
-    return t.join(_dictionary(spark, d).select(F.col("sf").alias("token")), "token", "left_semi").select("doc_id", F.col("token").alias("sf"), "mentions")
+    return D.found(table(spark, d, "documents"), _dictionary(spark, d).select("sf").distinct()).select("doc_id", "sf", "mentions")
 
 
 @query("detect_casefold", SF + "SELECT doc_id, token, mentions, token AS sf, 1 AS stage FROM tok WHERE token IN (SELECT sf FROM sf) UNION ALL SELECT doc_id, token, mentions, f.sf AS sf, 2 AS stage FROM tok JOIN (SELECT lower(sf) AS k, min(sf) AS sf FROM sf GROUP BY 1) f ON lower(token) = f.k WHERE token NOT IN (SELECT sf FROM sf)")
 def detect_casefold(spark, d):
-    return D.detect(D.tokens(table(spark, d, "documents")), _dictionary(spark, d)).select("doc_id", "token", "mentions", "sf", "stage")
+    hits = D.detect(D.words(table(spark, d, "documents")), _dictionary(spark, d))
+    return hits.groupBy("doc_id", "token", "sf", "stage").agg(F.count("*").alias("mentions"))
 
 
-@query("capital_filter", SF + "SELECT doc_id, token FROM tok WHERE regexp_matches(token, '^[A-Z]')")
+@query("capital_filter", SF + "SELECT doc_id, token FROM tok WHERE regexp_matches(token, '^\\p{Lu}')")
 def capital_filter(spark, d):
-    return D.tokens(table(spark, d, "documents")).filter(F.col("token").rlike("^[A-Z]")).select("doc_id", "token")
+    return D.words(table(spark, d, "documents")).filter(F.col("token").rlike(r"^\p{Lu}")).distinct()
 
 
 @query("candidates", SF + "SELECT token AS sf, entity, n, count(*) AS documents FROM tok JOIN sf ON token = sf GROUP BY 1, 2, 3")
@@ -85,10 +84,23 @@ def overlap_removal(spark, d):
     return D.without_overlaps(_spans(spark, d))
 
 
-@query("restrict_spans", f"WITH m AS ({SPANS}) SELECT doc_id, start, length FROM m WHERE (doc_id, start, length) IN (SELECT doc_id, start, length FROM m WHERE start % 2 = 0)")
+#: Spans of up to 5,000 characters, of orders' lines.
+LONG = "SELECT l_orderkey AS doc_id, CAST(l_partkey * 37 % 20000 AS BIGINT) AS start, CAST(floor(l_extendedprice) AS BIGINT) % 5000 + 1 AS length, 'f' || l_partkey % 3 AS sf FROM lineitem GROUP BY 1, 2, 3, 4"
+
+
+@query("overlap_removal_long", f"WITH m AS ({LONG}) SELECT doc_id, start, length, sf FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.start <= m.start + m.length AND m.start <= o.start + o.length AND CASE WHEN o.sf = m.sf THEN o.start < m.start ELSE o.length > m.length OR (o.length = m.length AND o.start > m.start) END)")
+def overlap_removal_long(spark, d):
+    x = table(spark, d, "lineitem")
+    m = x.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") * 37 % 20000).cast("long").alias("start"), (F.floor("l_extendedprice").cast("long") % 5000 + 1).alias("length"), F.concat(F.lit("f"), F.col("l_partkey") % 3).alias("sf"))
+    return D.without_overlaps(m.distinct(), 1024)
+
+
+@query("restrict_spans", f"WITH m AS ({SPANS}), gold AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 100 AS BIGINT) AS start, CAST(l_quantity AS BIGINT) % 17 + 1 AS length FROM lineitem WHERE l_returnflag = 'R') SELECT doc_id, start, length FROM m WHERE (doc_id, start, length) IN (SELECT * FROM gold)")
 def restrict_spans(spark, d):
+    """Mentions that are gold spans: those of returned lines."""
     m = _spans(spark, d)
-    return m.join(m.filter("start % 2 = 0"), ["doc_id", "start", "length"], "left_semi")
+    gold = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 100).cast("long").alias("start"), (F.col("l_quantity").cast("long") % 17 + 1).alias("length"))
+    return m.join(gold, ["doc_id", "start", "length"], "left_semi")
 
 
 @query("containment_filter", SF + ", f AS (SELECT DISTINCT sf FROM sf) SELECT sf FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.sf <> f.sf AND contains(o.sf, f.sf))")
@@ -133,4 +145,35 @@ def fuzzy_detect(spark, d):
 
 @query("lsh_band_join")
 def lsh_band_join(spark, d):
+    """Pairs that share a band of minhashes: of those of ``ngram_jaccard_join`` at 0.7 the most, and none beside them."""
     return D.lsh_join(*_noisy(spark, d), 0.7)
+
+
+@query("lsh_collisions")
+def lsh_collisions(spark, d):
+    return D.collisions(*_noisy(spark, d), 0.7)
+
+
+@query("lsh_tuning")
+def lsh_tuning(spark, d):
+    """A grid of bands and rows, where the source's has bands and buckets: rows decide how likely a bucket is shared."""
+    return D.tuning(*_noisy(spark, d), 0.7, ((10, 2), (20, 2), (20, 3)))
+
+
+@query("lsh_index")
+def lsh_index(spark, d):
+    """sf, band, bucket: what a table of the index holds."""
+    return D.lsh_bands(_noisy(spark, d)[1], "sf")
+
+
+@query("dictionary_rekeyed", SF + f", l AS (SELECT DISTINCT p_name AS sf, 'part:' || p_partkey AS entity FROM part UNION SELECT DISTINCT 'the ' || p_name, 'the:' || p_partkey FROM part WHERE p_partkey % 7 = 0), k AS (SELECT sf, entity, array_to_string(list_filter(list_filter(regexp_extract_all(sf, '{RX}'), lambda t: length(t) > 2), lambda t: NOT list_contains([{STOP}], t) AND NOT list_contains([{STOP}], lower(t))), ' ') AS k FROM l) SELECT sf, entity FROM l UNION SELECT k, entity FROM k WHERE k <> sf AND k IN (SELECT sf FROM l)")
+def dictionary_rekeyed(spark, d):
+    p = table(spark, d, "part")
+    links = p.select(F.col("p_name").alias("sf"), F.concat(F.lit("part:"), "p_partkey").alias("entity")).union(p.filter("p_partkey % 7 = 0").select(F.concat(F.lit("the "), "p_name"), F.concat(F.lit("the:"), "p_partkey")))
+    return D.rekeyed(links.distinct())
+
+
+@query("longer_collisions", f"WITH m AS ({SPANS}), o AS (SELECT *, 'f' || (start % 5) AS sf, repeat('x', CAST(length AS BIGINT)) AS original FROM m), e AS (SELECT doc_id, sf, original, 0 AS k, start AS edge FROM o UNION ALL SELECT doc_id, sf, original, 1, start + length FROM o), bad AS (SELECT DISTINCT original FROM (SELECT original, min(length(original)) OVER (PARTITION BY doc_id, sf, k, edge) AS least FROM e) WHERE length(original) > least) SELECT doc_id, start, length FROM o WHERE original NOT IN (SELECT original FROM bad)")
+def longer_collisions(spark, d):
+    m = _spans(spark, d).withColumns({"sf": F.concat(F.lit("f"), F.col("start") % 5), "original": F.expr("repeat('x', int(length))")})
+    return D.without_longer_collisions(m).select("doc_id", "start", "length")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bgp
-from ..sources.kg import catalog, catalog_sql, table
+from ..sources.kg import Catalog, catalog, catalog_sql, table
 from .registry import query
 
 KG = f"WITH kg AS ({catalog_sql()}) "
@@ -32,10 +32,9 @@ def star(spark, d):
     return bgp.match(catalog(spark, d, ("rdf:type", "label")), [("?s", "rdf:type", "cls:Supplier"), ("?s", "label", "?name")])
 
 
-@query("bgp_chain2", KG + "SELECT a.p AS p1, a.o AS o1, b.p AS p2, b.o AS o2 FROM kg a JOIN kg b ON a.o = b.s WHERE a.s = 'customer:7'")
+@query("bgp_chain2", f"WITH kg AS MATERIALIZED ({catalog_sql()}), a AS MATERIALIZED (SELECT p, o FROM kg WHERE s = 'customer:7') SELECT a.p AS p1, a.o AS o1, b.p AS p2, b.o AS o2 FROM a JOIN kg b ON a.o = b.s")
 def chain2(spark, d):
-    t = catalog(spark, d)
-    return bgp.match(t, [("customer:7", "?p1", "?o1"), ("?o1", "?p2", "?o2")]).select("p1", "o1", "p2", "o2")
+    return bgp.match(Catalog(spark, d), [("customer:7", "?p1", "?o1"), ("?o1", "?p2", "?o2")]).select("p1", "o1", "p2", "o2")
 
 
 @query("bgp_chain_d", KG + "SELECT a.s AS s, a.p AS p0, a.o AS o0, b.p AS p1, b.o AS o1, c.p AS p2, c.o AS o2 FROM kg a JOIN kg b ON a.o = b.s JOIN kg c ON b.o = c.s WHERE a.p NOT IN ('contains', 'suppliedBy') AND b.p NOT IN ('contains', 'suppliedBy') AND c.p NOT IN ('contains', 'suppliedBy') AND c.o_kind <> 'literal'")
@@ -50,7 +49,7 @@ def chain_limit(spark, d):
 
 @query("bgp_triangle", KG + "SELECT DISTINCT ts.o AS type_s, e.p AS pred, tobj.o AS type_o FROM kg ts JOIN kg e ON ts.s = e.s JOIN kg tobj ON tobj.s = e.o WHERE ts.p = 'rdf:type' AND tobj.p = 'rdf:type'")
 def triangle(spark, d):
-    t = catalog(spark, d)
+    t = Catalog(spark, d)
     return bgp.match(t, [("?x", "rdf:type", "?type_s"), ("?x", "?pred", "?y"), ("?y", "rdf:type", "?type_o")]).select("type_s", "pred", "type_o").distinct()
 
 
@@ -66,7 +65,7 @@ def count_distinct(spark, d):
 
 @query("bgp_distinct_pred", KG + "SELECT DISTINCT p FROM kg WHERE s = 'order:1'")
 def distinct_pred(spark, d):
-    return catalog(spark, d).filter("s = 'order:1'").select("p").distinct()
+    return catalog(spark, d, s="order:1").select("p").distinct()
 
 
 @query("bgp_is_literal", KG + "SELECT DISTINCT p FROM kg WHERE o_kind = 'literal'")
@@ -107,7 +106,7 @@ def concat(spark, d):
 
 @query("bgp_selector", KG + "SELECT s, p, o FROM kg WHERE p = 'inRegion' AND o = 'region:1'")
 def selector(spark, d):
-    return bgp.select(catalog(spark, d), p="inRegion", o="region:1").select("s", "p", "o")
+    return Catalog(spark, d).scan(None, "inRegion", "region:1").select("s", "p", "o")
 
 
 A, B = "(SELECT s, p, o FROM kg WHERE p IN ('label', 'inNation'))", "(SELECT s, p, o FROM kg WHERE p IN ('label', 'inRegion') AND starts_with(s, 'nation:'))"
@@ -149,7 +148,7 @@ def add_remove(spark, d):
 
 @query("bgp_neighbours", KG + "SELECT o1, n, rn FROM (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, o1) AS INTEGER) AS rn FROM (SELECT a.o AS o1, count(*) AS n FROM kg a JOIN kg b ON a.o = b.s WHERE a.s = 'order:1' GROUP BY a.o)) WHERE rn <= 20")
 def neighbours(spark, d):
-    t = catalog(spark, d)
+    t = Catalog(spark, d)
     n = bgp.match(t, [("order:1", None, "?o1"), ("?o1", None, None)]).groupBy("o1").agg(F.count("*").alias("n"))
     top = n.orderBy(F.desc("n"), "o1").limit(20)
     return top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), "o1")))
@@ -172,3 +171,53 @@ def context_search(spark, d):
     w = table(spark, d, "documents").select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("w")).filter(F.array_contains("w", "of"))
     score = F.array_contains("w", "the").cast("long") + F.array_contains("w", "and").cast("long")
     return w.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(500)
+
+
+@query("label_fetch", KG + "SELECT s, o FROM kg WHERE s = 'part:5' AND p = 'label' AND o_lang = 'en' ORDER BY o LIMIT 100")
+def label_fetch(spark, d):
+    """A subject's labels in a language, 100 at most: the feature's limit."""
+    return Catalog(spark, d).scan("part:5", "label", None).filter("o_lang = 'en'").orderBy("o").limit(100).select("s", "o")
+
+
+@query("property_lists", KG + "SELECT s, string_agg(p || '=' || o, '|' ORDER BY p, o) AS properties FROM kg WHERE p IN ('rdf:type', 'label', 'inNation') GROUP BY 1")
+def property_lists(spark, d):
+    t = catalog(spark, d, ("rdf:type", "label", "inNation"))
+    return t.groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "o"))), lambda x: F.concat_ws("=", x["p"], x["o"])), "|").alias("properties"))
+
+
+@query("rendered_solutions", KG + "SELECT s || chr(9) || p || chr(9) || o AS line FROM kg WHERE p = 'inRegion'")
+def rendered_solutions(spark, d):
+    return bgp.rendered(catalog(spark, d, ("inRegion",)), ["s", "p", "o"]).select("line")
+
+
+#: Queries by name, as a batch of query files would hold them.
+BATCH = {"labels": [("?entity", "label", "?lit")], "nations": [("?entity", "inNation", "?n"), ("?n", "label", "?lit")]}
+
+
+@query("query_batch", KG + "SELECT 'labels' AS name, s AS entity, o AS lit FROM kg WHERE p = 'label' UNION ALL SELECT 'nations', a.s, b.o FROM kg a JOIN kg b ON a.o = b.s WHERE a.p = 'inNation' AND b.p = 'label'")
+def query_batch(spark, d):
+    return bgp.batch(Catalog(spark, d), BATCH, ["entity", "lit"])
+
+
+SEARCH = "list_filter(string_split_regex(lower(o), '[^a-z]+'), lambda t: t <> '')"
+
+
+@query("literal_search", KG + f", q AS (SELECT * FROM (VALUES (1, 'Red Bolt'), (2, 'part:7'), (3, '12')) q(id, text)) SELECT id, s, o FROM (SELECT id, s, o, row_number() OVER (PARTITION BY id ORDER BY length(o), s) AS r FROM q JOIN kg ON p IN ('label', 'brand') AND CASE WHEN contains(text, ':') THEN s = text WHEN regexp_matches(text, '^[0-9]+$') THEN regexp_extract(o, '([0-9]+)$', 1) = text ELSE len(list_filter(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: t <> ''), lambda t: NOT list_contains({SEARCH}, t))) = 0 END) WHERE r <= 100")
+def literal_search_forms(spark, d):
+    """Queries of three forms: all words in a literal, an IRI exactly, a number exactly; 100 at most each, the shortest first."""
+    q = spark.createDataFrame([(1, "Red Bolt"), (2, "part:7"), (3, "12")], "id int, text string")
+    return bgp.literal_search(catalog(spark, d, ("label", "brand")), q, 100)
+
+
+@query("types_inferred", "WITH RECURSIVE sub AS (SELECT * FROM (VALUES ('cls:Supplier', 'cls:Company'), ('cls:Customer', 'cls:Company'), ('cls:Company', 'cls:Agent'), ('cls:Agent', 'cls:Thing'), ('cls:Nation', 'cls:Place'), ('cls:Place', 'cls:Thing')) x(a, b)), " + f"kg AS ({catalog_sql()})" + ", t AS (SELECT s, o FROM kg WHERE p = 'rdf:type' AND o <> 'cls:Order' UNION SELECT t.s, sub.b FROM t JOIN sub ON t.o = sub.a) SELECT s, o AS type FROM t")
+def types_inferred(spark, d):
+    sub = spark.createDataFrame([("cls:Supplier", "cls:Company"), ("cls:Customer", "cls:Company"), ("cls:Company", "cls:Agent"), ("cls:Agent", "cls:Thing"), ("cls:Nation", "cls:Place"), ("cls:Place", "cls:Thing")], "sub string, super string")
+    return bgp.inferred(catalog(spark, d, ("rdf:type",)).filter("o <> 'cls:Order'").select("s", F.col("o").alias("type")), sub)
+
+
+@query("markings_by_kind", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'meaning' WHEN l_returnflag = 'A' THEN 'scored' ELSE 'span' END AS kind FROM lineitem) GROUP BY 1")
+def markings_by_kind(spark, d):
+    """Markings with an IRI are meanings, with a confidence scored, else spans."""
+    x = table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", "u").alias("uri"), F.when(F.col("l_returnflag") == "A", 0.5).alias("confidence"))
+    kind = F.when(F.col("uri").isNotNull(), "meaning").when(F.col("confidence").isNotNull(), "scored").otherwise("span")
+    return x.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import windows as W
 from ..sources.kg import anchors, anchors_sql, table
 from .registry import query
 
@@ -14,32 +15,53 @@ STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 WORDS = f"list_filter(regexp_extract_all(text, '{RX}'), lambda t: length(t) > 2)"
 
 
-@query("tokens_single", f"SELECT doc_id, CAST(i AS INTEGER) AS pos, w[i] AS token FROM (SELECT doc_id, {WORDS} AS w FROM documents), range(1, 100000) r(i) WHERE i <= len(w)")
+#: Segments: a token with the separator that ends it; the last one may have none.
+SEGMENT = "[^[:punct:][:space:]]*(?:[[:punct:]]|[[:space:]]+)|[^[:punct:][:space:]]+"
+ENDED = "regexp_matches({0}, '[[:punct:][:space:]]$')"
+BARE = "CASE WHEN " + ENDED + " THEN left({0}, length({0}) - 1) ELSE {0} END"
+
+
+def segments_sql(table: str = "documents", key: str = "doc_id") -> str:
+    """CTEs seg (key, i, s, pos): segments with their offsets; win: windows of one and of two segments."""
+    bare, nbare = BARE.format("s"), BARE.format("n")
+    return (
+        f"seg AS (SELECT {key}, i, s, coalesce(sum(length(s)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, lead(s) OVER (PARTITION BY {key} ORDER BY i) AS n "
+        f"FROM (SELECT {key}, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT {key}, regexp_extract_all(text, '{SEGMENT}') AS l FROM {table})))"
+        f", two AS (SELECT {key}, pos, regexp_replace({bare}, '[[:space:]]+$', '') AS a, regexp_replace(right(s, 1) || {nbare}, '[[:space:]]+$', '') AS b, n IS NOT NULL AND {ENDED.format('s')} AS more FROM seg)"
+        f", win AS (SELECT {key}, CAST(pos AS INTEGER) AS \"offset\", a AS text FROM two WHERE length(a) >= 2 UNION ALL SELECT {key}, CAST(pos AS INTEGER), a || b FROM two WHERE more AND length(b) >= 2)"
+    )
+
+
+@query("tokens_single", f"WITH {segments_sql()} SELECT doc_id, CAST(pos AS INTEGER) AS \"offset\", {BARE.format('s')} AS token FROM seg WHERE length({BARE.format('s')}) > 2")
 def tokens_single(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
-    return x.select("doc_id", (F.col("pos") + 1).alias("pos"), "token")
+    return W.windows(table(spark, d, "documents"), "single").withColumnRenamed("text", "token")
 
 
-@query("tokens_offsets")
+@query("tokens_offsets", f"SELECT doc_id, count(*) AS n, sum(pos) AS offsets FROM (WITH {segments_sql()} SELECT doc_id, pos FROM seg WHERE length({BARE.format('s')}) > 2) GROUP BY 1")
 def tokens_offsets(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.explode(T.token_offsets(F.col("text"))).alias("t"))
-    return x.select("doc_id", "t.offset", "t.text")
+    """Number of tokens and sum of their offsets."""
+    return W.windows(table(spark, d, "documents"), "single").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("offset").cast("decimal(38,0)").alias("offsets"))
 
 
-@query("tokens_window2", f"SELECT doc_id, a || ' ' || b AS gram, count(*) AS n FROM (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, {WORDS} AS w FROM documents), range(1, 100000) r(i) WHERE i < len(w)) GROUP BY 1, 2")
+@query("tokens_window2", f"WITH {segments_sql()} SELECT doc_id, \"offset\", text FROM win")
 def tokens_window2(spark, d):
-    w = T.tokens(F.col("text"))
-    pairs = F.transform(F.arrays_zip(w.alias("a"), F.slice(w, 2, 1 << 30).alias("b")), lambda x: F.when(x["b"].isNotNull(), F.concat_ws(" ", x["a"], x["b"])))
-    return table(spark, d, "documents").select("doc_id", F.explode(F.array_compact(pairs)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    return W.windows(table(spark, d, "documents"), "bounded")
 
 
-@query("tokens_unbounded", f"SELECT item_id, CAST(i AS INTEGER) AS first, CAST(j AS INTEGER) AS last, array_to_string(w[i:j], ' ') AS span FROM (SELECT item_id, {WORDS} AS w FROM benchmark), range(1, 1000) a(i), range(1, 1000) b(j) WHERE i <= j AND j <= len(w)")
+STRETCH = "SELECT item_id, CAST(a.pos AS INTEGER) AS \"offset\", substring(text, CAST(a.pos AS BIGINT) + 1, CAST(b.cut - a.pos - 1 AS BIGINT)) AS text FROM c a JOIN c b USING (item_id) JOIN benchmark USING (item_id) WHERE b.i >= a.i AND b.cut - a.pos - 1 > 2 AND {0}"
+CUTS = f"WITH {segments_sql('benchmark', 'item_id')}, c AS (SELECT item_id, i, pos, pos + length(s) + CASE WHEN n IS NULL AND NOT {ENDED.format('s')} THEN 1 ELSE 0 END AS cut, length(s) + CASE WHEN n IS NULL AND NOT {ENDED.format('s')} THEN 1 ELSE 0 END AS w FROM seg) "
+
+
+@query("tokens_unbounded", CUTS + STRETCH.format("CASE WHEN a.i = b.i THEN a.i = 1 ELSE b.w > 2 END"))
 def tokens_unbounded(spark, d):
-    """All spans of words of short texts; their number is the square of a text's length."""
-    w = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    i = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("first"))
-    j = i.select("item_id", "w", "first", F.explode(F.sequence(F.col("first"), F.size("w"))).alias("last"))
-    return j.select("item_id", "first", "last", F.array_join(F.slice("w", F.col("first"), F.col("last") - F.col("first") + 1), " ").alias("span"))
+    """All stretches between cuts of the benchmark's items; their number is the square of a text's length, so
+    documents (of up to 20,000 words) would give 10^8 rows each."""
+    return W.windows(table(spark, d, "benchmark"), "unbounded", "item_id")
+
+
+@query("tokens_multiword", CUTS + STRETCH.format("b.i > a.i AND b.w > 2"))
+def tokens_multiword(spark, d):
+    return W.windows(table(spark, d, "benchmark"), "multiword", "item_id")
 
 
 @query("stopword_filter", f"SELECT doc_id, array_to_string(list_filter({WORDS}, lambda t: NOT list_contains({STOP}, t) AND NOT list_contains({STOP}, lower(t))), ' ') AS words FROM documents")
@@ -124,9 +146,9 @@ def nif_uri(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("urn:doc:"), "doc_id", F.lit("#char=0,"), F.length("text")).alias("uri"))
 
 
-@query("kth_occurrence", f"SELECT doc_id, pos, token, CAST(row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) AS INTEGER) AS k FROM (SELECT doc_id, CAST(i AS INTEGER) AS pos, w[i] AS token FROM (SELECT doc_id, {WORDS} AS w FROM documents), range(1, 100000) r(i) WHERE i <= len(w))")
+@query("kth_occurrence", f"WITH {segments_sql()} SELECT doc_id, \"offset\", token, CAST(row_number() OVER (PARTITION BY doc_id, token ORDER BY \"offset\") AS INTEGER) AS k FROM (SELECT doc_id, CAST(pos AS INTEGER) AS \"offset\", {BARE.format('s')} AS token FROM seg) WHERE length(token) > 2")
 def kth_occurrence(spark, d):
-    return tokens_single(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("pos")))
+    return tokens_single(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("offset")))
 
 
 @query("number_words")

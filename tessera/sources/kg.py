@@ -36,19 +36,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def catalog(spark: SparkSession, sf_dir: str, predicates: tuple[str, ...] | None = None) -> DataFrame:
-    """The catalog graph; branches of other predicates than those asked for are not planned at all. Edges of
-    lineitem are distinct."""
+def catalog(spark: SparkSession, sf_dir: str, predicates: tuple[str, ...] | None = None, s: str | None = None, o: str | None = None) -> DataFrame:
+    """The catalog graph; branches of other predicates than those asked for are not planned at all. A bound subject or
+    object (``s``, ``o``) leaves only the branches of its prefix, and becomes a filter of the key at their scans.
+    Edges of lineitem are distinct."""
+
+    def key(term: str, prefix: str):
+        rest = term[len(prefix) :]
+        return int(rest) if term.startswith(prefix) and rest.isdigit() and str(int(rest)) == rest else None
 
     def branch(t, sp, sc, p, op, oc, kind):
         d = table(spark, sf_dir, t)
-        s = F.concat(F.lit(sp), F.col(sc).cast("string"))
-        o = F.concat(F.lit(op), F.col(oc).cast("string")) if oc else F.lit(op)
+        if s is not None:
+            if key(s, sp) is None:
+                return None
+            d = d.filter(F.col(sc) == key(s, sp))
+        if o is not None:
+            number = oc is not None and op != "" and dict(d.dtypes)[oc] != "string"
+            if (number and key(o, op) is None) or (oc is None and o != op) or not o.startswith(op):
+                return None
+            if oc is not None:
+                d = d.filter(F.col(oc) == (key(o, op) if number else o[len(op) :]))
+        subject = F.concat(F.lit(sp), F.col(sc).cast("string"))
+        object_ = F.concat(F.lit(op), F.col(oc).cast("string")) if oc else F.lit(op)
         if t == "lineitem":
             d = d.select(sc, oc).distinct()
-        return d.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit("en" if kind == "literal" else None).cast("string").alias("o_lang"))
+        return d.select(subject.alias("s"), F.lit(p).alias("p"), object_.alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit("en" if kind == "literal" else None).cast("string").alias("o_lang"))
+
+    parts = [b for b in (branch(*b) for b in CATALOG if predicates is None or b[3] in predicates) if b is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "s string, p string, o string, o_kind string, o_datatype string, o_lang string")
+
+
+class Catalog:
+    """The catalog as a source of patterns: each is scanned with what it binds."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-    return reduce(DataFrame.unionByName, [branch(*b) for b in CATALOG if predicates is None or b[3] in predicates])
+    def scan(self, s: str | None, p: str | None, o: str | None) -> DataFrame:
+        return catalog(self.spark, self.sf_dir, (p,) if p else None, s, o)
 
 
 def catalog_sql() -> str:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import embed as E
 from tessera.operators import graph as G
+from tessera.operators import windows as N
 from tessera.sources import readers as R
 from tessera.sources import writers as W
 from tessera.sources.kg import anchors
@@ -39,15 +40,25 @@ def test_nif(spark):
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in m.collect()] and docs.count() == 0
 
 
-def test_token_offsets(spark):
-    d = spark.createDataFrame([("I have   a cat, !!that I like- playing with  ",), ("",)], "text string")
-    got = [[(t["offset"], t["text"]) for t in r[0]] for r in d.select(T.token_offsets(F.col("text"))).collect()]
-    assert got == [[(2, "have"), (11, "cat"), (18, "that"), (25, "like"), (31, "playing"), (39, "with")], []]
+PROBE = "I have   a cat, !!that I like- playing with  "
+
+
+def test_windows(spark):
+    d = spark.createDataFrame([(1, PROBE), (2, ""), (3, None)], "doc_id long, text string")
+
+    def got(mode):
+        return [(r["offset"], r["text"]) for r in N.windows(d, mode).orderBy("doc_id", "offset", F.length("text")).collect()]
+
+    assert got("single") == [(2, "have  "), (11, "cat"), (18, "that"), (25, "like"), (31, "playing"), (39, "with ")]
+    assert got("bounded") == [(0, "I have"), (2, "have"), (2, "have a"), (9, "a cat"), (11, "cat"), (17, "!that"), (18, "that"), (18, "that I"), (23, "I like"), (25, "like"), (30, " playing"), (31, "playing"), (31, "playing with"), (39, "with")]
+    every = got("unbounded")
+    assert (0, "I have  ") in every and (0, PROBE[:-1]) in every and (2, "have   a cat") in every and set(got("multiword")) <= set(every) and len(every) == len(set(every))
 
 
 def test_scalar_functions():
     assert T.number_of("twenty one") == "21" and T.number_of("two hundred and five thousand") == "205000" and T.number_of("one point five") == "1.5" and T.number_of("cat") == "cat"
-    assert T.german_stem_of("Häuser") == "haus" and T.german_stem_of("gelaufen") == "lauf"
+    stems = {"Häuser": "hau", "gelaufen": "lauf", "Energie": "energie", "schnellen": "schnell", "Straßen": "strass", "Zeitungen": "zeitung", "laufend": "lauf", "tanzend": "tanz", "Bett": "bett", "3,5": "3,5", "Au!": "au"}
+    assert {w: T.german_stem_of(w) for w in stems} == stems
 
 
 def test_ngrams(spark):
