@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import detection, embedding, evaluation, graphs, patterns, texts, walking  # noqa: F401  each registers its queries
+    from . import detection, embedding, evaluation, graphs, linking, patterns, texts, walking  # noqa: F401  each registers its queries
 
 
 _load()
