@@ -20,6 +20,7 @@ import hashlib
 import io
 import re
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -69,7 +70,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     """By prefix doubling. Only suffixes that still tie with a neighbour are sorted again; separators differ, so it
     ends by the longest repeated run."""
     n = len(seq)
-    sa = np.argsort(seq, kind="stable")
+    sa = np.argsort(seq)
     x = seq[sa]
     heads = np.concatenate([[True], x[1:] != x[:-1]]) if n else np.zeros(0, bool)
     rank = np.empty(n, np.int64)
@@ -79,7 +80,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     while len(tied):
         at = sa[tied]
         after = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
-        order = np.argsort(rank[at] * (n + 2) + after, kind="stable")
+        order = np.argsort(rank[at] * (n + 2) + after)
         at, first, after = at[order], rank[at][order], after[order]
         sa[tied] = at  # tied rows are ascending, and so are the groups
         new = np.concatenate([[True], (first[1:] != first[:-1]) | (after[1:] != after[:-1])])
@@ -189,14 +190,20 @@ def blocks_of(benchmark: DataFrame, size: int = WINDOW) -> list:
     return [*out, sc.broadcast(windows(held, size))] if held else out
 
 
+class Numbers(dict):
+    """Words to numbers from 1, in the order that they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 def build(texts: list[str | None]) -> tuple[FMIndex, dict[bytes, int], list[int]]:
     """(index, the numbers of its words, words of each text) of a shard."""
-    numbers: dict[bytes, int] = {}
+    numbers = Numbers()
     words = [words_of(t) for t in texts]
-    for w in set().union(*words):
-        numbers[w] = len(numbers) + 1
     sizes = [len(w) for w in words]
-    ids = np.fromiter((numbers[w] for ws in words for w in ws), np.int64, sum(sizes))
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
     return FMIndex(ids, np.array(sizes, np.int64), len(numbers)), numbers, sizes
 
 
