@@ -506,6 +506,8 @@ def learn(pages: DataFrame) -> DataFrame:
     wrappers = stored(induce(pages))
     texts = stored(texts_of(pages, wrappers))
     per_host = texts.filter("slot < 0").groupBy("host").agg(F.count("*").alias("n"))
+    if (per_host.agg(F.sum(F.length("host") + 8)).first()[0] or 0) <= SMALL:
+        per_host = F.broadcast(per_host)
     t = texts.filter("slot >= 0").join(per_host, "host")
     constant = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= CONSTANT * F.col("n"))
     mass = F.sum(F.when(~constant, F.greatest(F.lit(0), F.col("size") - 2 * F.col("links")) * F.col("pages")).otherwise(0))
