@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -96,6 +97,12 @@ class Pieces:
         return Lattice(start, size, word, at, n, piece)
 
 
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """One table for all tasks that a Python worker runs."""
+    return Pieces(path)
+
+
 class Lattice:
     """Edges from node to node, each with a piece; a node is a character's place plus its word's number, as each word
     has one node more than characters."""
@@ -111,7 +118,7 @@ class Lattice:
         """For each node and column of p: the sum over all segmentations of its word before it (back: after it)."""
         here, there = (self.target, self.source) if not back else (self.source, self.target)
         level = self.depth + self.length if not back else -self.depth
-        order = np.lexsort((here, level))
+        order = np.argsort((level - level.min(initial=0)) * self.nodes + here)  # by level, then by node
         here, there, piece, level = here[order], there[order], self.piece[order], level[order]
         f = np.full((self.nodes, p.shape[1]), -np.inf if logs else 0.0)
         f[self.last if back else self.first] = 0.0 if logs else 1.0
@@ -183,7 +190,7 @@ def learn(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     sc = docs.sparkSession.sparkContext
     counted = stored(map_batches(docs.select("text", "lang"), make_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
-    n = Pieces(path).n
+    n = pieces_of(path).n
     if not langs:
         return [], np.full((1, n), 1.0 / n)
     p, before = np.full((len(langs), n), 1.0 / n), None
@@ -191,7 +198,7 @@ def learn(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
         model = sc.broadcast((langs, p))
 
         def make(model=model):
-            pieces, (langs, p) = Pieces(path), model.value
+            pieces, (langs, p) = pieces_of(path), model.value
             sums = {lang: np.zeros(pieces.n) for lang in langs}
             likely = dict.fromkeys(langs, 0.0)
 
@@ -232,7 +239,7 @@ class Scorer:
     """Log-probabilities of words by language; the words met last are remembered as rows of a matrix."""
 
     def __init__(self, path: str, p: np.ndarray):
-        self.pieces = Pieces(path)
+        self.pieces = pieces_of(path)
         self.p = np.vstack([p.T, np.full((1, len(p)), UNKNOWN)])
         self.log_p = np.log(self.p)
         self.rows: dict[str, int] = {}
