@@ -34,7 +34,7 @@ from .common import discard, map_batches, map_groups, stored, with_only
 
 WORDS, PERCENT = 5, 80
 #: Most shared shingles that are asked for; documents in a block; known frequent shingles (only the order depends on them).
-MOST_L, BLOCK, FREQUENT = 4, 128, 200_000
+MOST_L, BLOCK, FREQUENT = 4, 512, 200_000
 BUDGET, HEAVY = 2_000_000, 10_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
@@ -188,10 +188,11 @@ def classes_of(pre: DataFrame) -> DataFrame:
 
 def families(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """hub, doc_id, sig, n, l, all its hubs, tokens, levels (the least l at which each is in the prefix) of all that may have a candidate."""
-    each = classes.filter("doc_id is not null").select("doc_id", "sig", "n", F.posexplode("prefix").alias("pos", "token"))
+    each = classes.filter("doc_id is not null").select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     met = each.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub <> top").drop("top")
     rows = each.join(met.hint("shuffle_hash"), "token")
-    own = rows.groupBy("doc_id", "sig", "n").agg(F.collect_set(F.struct("pos", "token", "df", "hub")).alias("t"))
+    # Of a doc_id with several texts of one size the prefixes are united: that may add candidates, but loses none.
+    own = rows.groupBy("doc_id", "n").agg(F.collect_set(F.struct("pos", "token", "df", "hub")).alias("t")).join(classes.select("doc_id", F.col("n").cast("int").alias("n"), "sig"), ["doc_id", "n"])
 
     def part(name):
         return F.transform("t", lambda x: x[name]).alias(name)
@@ -223,16 +224,20 @@ def blocked(members: DataFrame, block: int = BLOCK, percent: int = PERCENT, budg
     width = float(np.log(100 / percent))
     m = members.withColumn("step", F.floor(F.log("n") / width).cast("long"))
     most = F.greatest(F.lit(2.0), F.least(F.lit(float(block)), budget / F.exp((F.col("step") + 1) * width)))
-    sizes = m.groupBy("hub", "step").count().select("hub", F.struct("step", "count", F.ceil(F.col("count") / most).cast("long").alias("blocks")).alias("x"))
-    sizes = sizes.groupBy("hub").agg(F.collect_list("x").alias("sizes")).filter("size(sizes) > 1 or sizes[0].count > 1")
+    sizes = m.groupBy("hub", "step").agg(F.count("*").alias("count"), F.sum("n").alias("mass")).select("hub", F.struct("step", "count", "mass", F.ceil(F.col("count") / most).cast("long").alias("blocks")).alias("x"))
+    sizes = sizes.groupBy("hub").agg(F.collect_list("x").alias("sizes"), F.sum("x.count").alias("members"), F.sum("x.mass").alias("mass")).filter("members > 1")
     m = m.join(sizes.hint("shuffle_hash"), "hub")
+    # A family that fits into a block is one.
+    one = (F.col("members") <= block) & (F.col("mass") <= budget)
     near = F.filter("sizes", lambda x: F.abs(x["step"] - F.col("step")) <= 1)
     alone = F.exists("sizes", lambda x: (x["step"] == F.col("step")) & (x["count"] == 1))
     here = F.filter("sizes", lambda x: x["step"] == F.col("step"))[0]["blocks"]
-    m = m.withColumn("mine", F.col("step") * (1 << 32) + F.pmod(F.xxhash64("doc_id", "sig", "hub"), here))
-    others = F.flatten(F.transform(near, lambda x: F.when((x["step"] == F.col("step")) & alone, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda k: x["step"] * (1 << 32) + k))))
+    m = m.withColumn("mine", F.when(one, 0).otherwise(F.col("step") * (1 << 32) + F.pmod(F.xxhash64("doc_id", "sig", "hub"), here)))
+    none = F.array().cast("array<bigint>")
+    others = F.flatten(F.transform(near, lambda x: F.when((x["step"] == F.col("step")) & alone, none).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda k: x["step"] * (1 << 32) + k))))
+    others = F.when(one, F.array(F.lit(0).cast("long"))).otherwise(others)
     pair = F.explode(F.transform(others, lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"))))
-    return m.withColumn("pair", pair).select("hub", "pair.i", "pair.j", *[c for c in m.columns if c not in ("hub", "sizes", "step")])
+    return m.withColumn("pair", pair).select("hub", "pair.i", "pair.j", *[c for c in m.columns if c not in ("hub", "sizes", "step", "members", "mass")])
 
 
 def overlaps(sets: list, least: int = 2, width: int = 4096) -> np.ndarray:
@@ -248,6 +253,7 @@ def overlaps(sets: list, least: int = 2, width: int = 4096) -> np.ndarray:
     _, token = np.unique(token, return_inverse=True)
     order = np.argsort(token, kind="stable")
     token, who = token[order], who[order]
+    width = min(width, int(token.max(initial=0)) + 1)
     for a in range(0, int(token.max(initial=-1)) + 1, width):
         lo, hi = np.searchsorted(token, [a, a + width])
         m = np.zeros((g, width), np.float32)
