@@ -35,7 +35,7 @@ from .common import discard, map_batches, map_groups, stored, with_only
 WORDS, PERCENT = 5, 80
 #: Most shared shingles that are asked for; documents in a block; known frequent shingles (only the order depends on them).
 MOST_L, BLOCK, FREQUENT = 4, 512, 200_000
-BUDGET, HEAVY = 2_000_000, 10_000
+BUDGET, HEAVY, AT_HAND = 2_000_000, 10_000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 
@@ -218,6 +218,11 @@ def families(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return stored(chosen).select(F.explode("hubs").alias("hub"), "doc_id", "sig", "n", "l", "hubs", "tokens", "levels")
 
 
+def at_hand(small: DataFrame, rows: int = AT_HAND) -> DataFrame:
+    """A stored table, to be broadcast if it has few enough rows (each of tens of bytes)."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
 def blocked(members: DataFrame, block: int = BLOCK, percent: int = PERCENT, budget: int = BUDGET) -> DataFrame:
     """Members of families, once for each pair of blocks that their own block is in and that may hold a link: i <= j,
     mine. A block's number is its step of length (a factor of 100 / percent) times 2**32, and its place in that step."""
@@ -225,10 +230,11 @@ def blocked(members: DataFrame, block: int = BLOCK, percent: int = PERCENT, budg
     m = members.withColumn("step", F.floor(F.log("n") / width).cast("long"))
     most = F.greatest(F.lit(2.0), F.least(F.lit(float(block)), budget / F.exp((F.col("step") + 1) * width)))
     sizes = m.groupBy("hub", "step").agg(F.count("*").alias("count"), F.sum("n").alias("mass")).select("hub", F.struct("step", "count", "mass", F.ceil(F.col("count") / most).cast("long").alias("blocks")).alias("x"))
-    sizes = sizes.groupBy("hub").agg(F.collect_list("x").alias("sizes"), F.sum("x.count").alias("members"), F.sum("x.mass").alias("mass")).filter("members > 1")
-    m = m.join(sizes.hint("shuffle_hash"), "hub")
-    # A family that fits into a block is one.
-    one = (F.col("members") <= block) & (F.col("mass") <= budget)
+    sizes = sizes.groupBy("hub").agg(F.collect_list("x").alias("sizes"), F.sum("x.count").alias("members"), F.sum("x.mass").alias("mass"))
+    # A family that fits into a block is one; the others are few, and come back to their members by a broadcast.
+    large = stored(sizes.filter((F.col("members") > block) | (F.col("mass") > budget)).select("hub", "sizes"))
+    m = m.join(at_hand(large), "hub", "left")
+    one = F.col("sizes").isNull()
     near = F.filter("sizes", lambda x: F.abs(x["step"] - F.col("step")) <= 1)
     alone = F.exists("sizes", lambda x: (x["step"] == F.col("step")) & (x["count"] == 1))
     here = F.filter("sizes", lambda x: x["step"] == F.col("step"))[0]["blocks"]
@@ -237,7 +243,7 @@ def blocked(members: DataFrame, block: int = BLOCK, percent: int = PERCENT, budg
     others = F.flatten(F.transform(near, lambda x: F.when((x["step"] == F.col("step")) & alone, none).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda k: x["step"] * (1 << 32) + k))))
     others = F.when(one, F.array(F.lit(0).cast("long"))).otherwise(others)
     pair = F.explode(F.transform(others, lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"))))
-    return m.withColumn("pair", pair).select("hub", "pair.i", "pair.j", *[c for c in m.columns if c not in ("hub", "sizes", "step", "members", "mass")])
+    return m.withColumn("pair", pair).select("hub", "pair.i", "pair.j", *[c for c in m.columns if c not in ("hub", "sizes", "step")])
 
 
 def overlaps(sets: list, least: int = 2, width: int = 4096) -> np.ndarray:
@@ -348,7 +354,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pre = stored(prefixes(d, frequent(d), percent))
     classes = stored(classes_of(pre))
     near = stored(with_candidates(blocked(families(classes, percent), percent=percent), percent))
-    texts = d.join(near.select("doc_id").distinct(), "doc_id")
+    texts = d.join(at_hand(stored(near.select("doc_id").distinct())), "doc_id")
     edges = verified(near.join(texts, "doc_id").select("hub", "i", "j", "mine", "doc_id", "sig", "text"), percent)
     roots = components(edges)
     of = classes.select("sig", "sig2", "rows", "doc_id").join(roots, F.col("doc_id") == F.col("v"), "left").select("sig", "sig2", "rows", F.coalesce("root", "doc_id").alias("root"), (F.col("rows") > 1).alias("copied"), F.col("root").isNotNull().alias("linked"))
