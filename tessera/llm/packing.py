@@ -243,13 +243,13 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     def make():
         from pyspark import TaskContext
 
-        encode, end = encoder(path, "byte").encode, np.array([end_id], "<u4").tobytes()
+        tokens = encoder(path, "byte")
         task, ranks = TaskContext.get().partitionId(), Counter()
 
         def kernel(c):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "rank")}
-            for d, ids in zip(c["doc_id"], encode(c["text"])):
-                ids = memoryview(ids + end)
+            for d, ids in zip(c["doc_id"], tokens.encode(c["text"])):
+                ids = memoryview(tokens.numbers(ids, end_id)).cast("B")
                 for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                     for k, v in zip(out, (d, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), task, ranks[n])):
                         out[k].append(v)

@@ -137,24 +137,30 @@ def decode_block(payload: bytes, table: Frequencies) -> tuple[np.ndarray, list[t
 
 
 def tokenize(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
-    """doc_id, ids (binary, little-endian uint16 or uint32 by ``wide``), crc, n of whole texts, each with the end id."""
+    """doc_id, ids (binary: 2 or 4, bytes of an id, then the ids), crc, n of whole texts, each with the end id; and, in
+    rows without ids, counts: how often each id is used in a task, as (id, count) pairs of 64 bits."""
 
     def make():
-        encode, end = encoder(path, kind).encode, np.array([end_id], "<u4").tobytes()
+        tokens = encoder(path, kind)
+        mark, total = bytes([tokens.dtype.itemsize]), np.zeros(1 << 16, np.int64)
 
-        def kernel(c):
-            ids = [x + end for x in encode(c["text"])]
-            yield {"doc_id": c["doc_id"], "ids": [narrow(x) for x in ids], "crc": [zlib.crc32(x) for x in ids], "n": [len(x) // 4 for x in ids]}
-
-        return kernel
+        class Kernel:
+            def __call__(self, c):
+                nonlocal total
+                ids = [tokens.numbers(x, end_id) for x in tokens.encode(c["text"])]
+                used = np.bincount(np.concatenate(ids), minlength=len(total))
+                if len(used) > len(total):
+                    total = np.concatenate([total, np.zeros(len(used) - len(total), np.int64)])
+                total += used
+                yield {"doc_id": c["doc_id"], "ids": [mark + x.astype(tokens.dtype).tobytes() for x in ids], "crc": [zlib.crc32(x) for x in ids], "n": [len(x) for x in ids], "counts": [None] * len(ids)}
 
-    return map_batches(with_only(docs, doc_id="long", text="string"), make, "doc_id long, ids binary, crc long, n long")
+            def close(self):
+                at = np.flatnonzero(total)
+                yield {"doc_id": [None], "ids": [None], "crc": [None], "n": [None], "counts": [np.stack([at, total[at]], 1).astype("<i8").tobytes()]}
 
+        return Kernel()
 
-def narrow(ids: bytes) -> bytes:
-    """Drops the upper two bytes of ids below 2**16; a first byte tells which form it is."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\2" + a.astype("<u2").tobytes() if not a.size or int(a.max()) < 1 << 16 else b"\4" + ids
+    return map_batches(with_only(docs, doc_id="long", text="string"), make, "doc_id long, ids binary, crc long, n long, counts binary")
 
 
 def widen(data: bytes) -> np.ndarray:
@@ -165,32 +171,21 @@ def count_symbols(tokens: DataFrame) -> dict[int, int]:
     """Occurrences of each id over all documents; as many rows as the vocabulary has come to the driver."""
 
     def make():
-        total = np.zeros(1 << 16, np.int64)
-
-        class Kernel:
-            def __call__(self, c):
-                nonlocal total
-                for data in c["ids"]:
-                    k = np.bincount(widen(data), minlength=0)
-                    if len(k) > len(total):
-                        total = np.concatenate([total, np.zeros(len(k) - len(total), np.int64)])
-                    total[: len(k)] += k
-                return ()
-
-            def close(self):
-                ids = np.flatnonzero(total)
-                return ({"id": ids.tolist(), "count": total[ids].tolist()},)
+        def kernel(c):
+            for data in c["counts"]:
+                x = np.frombuffer(data, "<i8").reshape(-1, 2)
+                yield {"id": x[:, 0].tolist(), "count": x[:, 1].tolist()}
 
-        return Kernel()
+        return kernel
 
-    parts = map_batches(tokens.select("ids"), make, "id long, count long", text="ids")
+    parts = map_batches(tokens.filter("ids is null").select("counts"), make, "id long, count long", text="counts")
     return {r["id"]: r["count"] for r in parts.groupBy("id").agg(F.sum("count").alias("count")).collect()}
 
 
 def write(docs: DataFrame, out: str, path: str, kind: str = "word", end_id: int = 1, partitions: int | None = None) -> None:
     """Writes the container: ``out``/blocks and ``out``/frequencies."""
     spark = docs.sparkSession
-    tokens = stored(tokenize(docs, path, kind, end_id))
+    tokens = stored(tokenize(docs, path, kind, end_id), codec="snappy")
     counts = count_symbols(tokens)
     spark.createDataFrame(sorted(counts.items()), "id long, count long").coalesce(1).write.parquet(f"{out}/frequencies")
     shared = spark.sparkContext.broadcast(counts)
@@ -225,7 +220,7 @@ def write(docs: DataFrame, out: str, path: str, kind: str = "word", end_id: int
 
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ("doc_id", "crc", "n")
-    ordered = tokens.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    ordered = tokens.filter("ids is not null").drop("counts").repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     map_batches(ordered, make, "shard int, block int, start long, n_tokens long, payload binary", text="ids").write.option("compression", "none").parquet(f"{out}/blocks")
 
 

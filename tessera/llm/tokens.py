@@ -39,9 +39,10 @@ def tokenizer_path(name: str) -> str:
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian uint32 ids, as bytes. At most 2 * ``generation`` chunks are remembered."""
+    """Encodes texts to little-endian ids of type ``dtype`` (16 bits if the vocabulary fits), as bytes; ``numbers`` gives
+    them as 32 bits. At most 2 * ``generation`` chunks are remembered."""
 
-    def __init__(self, path: str, kind: str, generation: int = 300_000):
+    def __init__(self, path: str, kind: str, generation: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,31 +52,34 @@ class ChunkEncoder:
         #: Ids that end a word (word tokenizer) or begin with a space (byte tokenizer).
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.edge[[i for t, i in self.tokenizer.get_vocab().items() if (t.endswith("</w>") if self.lower else t.startswith("Ġ"))]] = True
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.generation, self.young, self.old = generation, {}, {}
         mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         assert len(mark) == 1
         self.mark = mark[0]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks without the separator in them: encoded as one text, then cut at the separator's id."""
-        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.flatnonzero(ids == self.mark)
         if len(ends) != len(chunks) - 1:
             return self._plain(chunks)
-        data, at = ids.tobytes(), [0, *((ends + 1) * 4).tolist()]
-        return [data[a : b - 4] for a, b in zip(at, [*at[1:], len(data) + 4])]
+        w = self.dtype.itemsize
+        data, at = ids.tobytes(), [0, *((ends + 1) * w).tolist()]
+        return [data[a : b - w] for a, b in zip(at, [*at[1:], len(data) + w])]
 
     def _glued(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks that are cut apart by their own ids: words, or runs that begin with their only space."""
-        ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.lower else "").join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.lower else "").join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
         at = np.flatnonzero(self.edge[ids])
         if len(at) != len(chunks):
             return self._joined(chunks)
         data = ids.tobytes()
-        at = [0, *((at + 1) * 4).tolist()] if self.lower else [*(at * 4).tolist(), len(data)]
+        w = self.dtype.itemsize
+        at = [0, *((at + 1) * w).tolist()] if self.lower else [*(at * w).tolist(), len(data)]
         return [data[a:b] for a, b in zip(at, at[1:])]
 
     def _learn(self, chunks: set[str]) -> None:
@@ -102,6 +106,15 @@ class ChunkEncoder:
         if hard:
             young.update(zip(hard, self._plain(hard)))
 
+    def numbers(self, data: bytes, end: int | None = None) -> np.ndarray:
+        """The ids of encoded bytes, and the end id behind them."""
+        n = len(data) // self.dtype.itemsize
+        out = np.empty(n + (end is not None), "<u4")
+        out[:n] = np.frombuffer(data, self.dtype)
+        if end is not None:
+            out[n] = end
+        return out
+
     def chunks(self, text: str | None) -> list[str] | None:
         """The chunks of a text; None if it is empty or goes whole."""
         if not text:

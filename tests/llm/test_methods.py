@@ -35,7 +35,8 @@ def test_chunks_give_the_tokenizers_ids(texts, name, kind):
     t = [*texts.values(), "a <|endoftext|> b", "<|startoftext|><|endoftext|>", "x<|EndOfText|> <|start", *("".join(rng.choice(" \n\n\t  ~ab1.'sé²́İΣ.,<|xÀ×÷ßµªre'llK\xa0") for _ in range(rng.randint(0, 30))) for _ in range(3_000))]
     tok = Tokenizer.from_file(tokens.tokenizer_path(name))
     want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(t, add_special_tokens=False)]
-    assert tokens.ChunkEncoder(tokens.tokenizer_path(name), kind, generation=500).encode(t) == want
+    e = tokens.ChunkEncoder(tokens.tokenizer_path(name), kind, generation=500)
+    assert [e.numbers(x).tobytes() for x in e.encode(t)] == want
 
 
 def test_rans_blocks():
