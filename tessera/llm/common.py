@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,9 @@ from ..shipping import ship
 from ..storage import discard, shared_dir, stored  # noqa: F401  the operators take them from here
 
 #: Rows are handed to the kernels in groups of about so many characters, to bound a worker's memory.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
+#: Rows that are turned into Python objects at a time where no text bounds them.
+CHUNK_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,14 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def trim() -> None:
+    """Gives memory that a task freed back to the system: Python workers live on and serve other stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterable[dict[str, list]]]], schema: str, text: str | None = "text") -> DataFrame:
     """mapInArrow over column lists. ``make`` runs once a task and returns the kernel; the kernel gets columns of
     about CHUNK_CHARS characters of ``text`` at a time and yields columns for ``schema``."""
@@ -35,7 +46,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], It
         kernel = make()
         for batch in batches:
             cuts, size = [0], 0
-            if text is not None and batch.num_rows:
+            if text is None:
+                cuts = list(range(0, max(1, batch.num_rows), CHUNK_ROWS))
+            elif batch.num_rows:
                 lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(names.index(text))), 0).to_pylist()
                 for i, n in enumerate(lengths):
                     if size and size + n > CHUNK_CHARS:
@@ -49,6 +62,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], It
                         yield pa.RecordBatch.from_pydict(out, schema=arrow)
         for out in getattr(kernel, "close", tuple)():
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        del kernel
+        trim()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -87,7 +102,7 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
             for k, v in kernel(rows).items():
                 out[k] += v
 
-        for batch in batches:
+        for batch in (b.slice(a, CHUNK_ROWS) for b in batches for a in range(0, b.num_rows, CHUNK_ROWS)):
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
             key = list(zip(*[cols[k] for k in keys]))
             a = 0
@@ -106,5 +121,7 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
         if now is not None:
             give(held)
         yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        del held, out
+        trim()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from .common import discard, map_batches, map_groups, stored, with_only
 
 WORDS, PERCENT = 5, 80
 #: Most shared shingles that are asked for; documents in a block; known frequent shingles (only the order depends on them).
-MOST_L, BLOCK, FREQUENT = 4, 512, 200_000
+MOST_L, BLOCK, FREQUENT = 4, 256, 200_000
 BUDGET, HEAVY, AT_HAND = 2_000_000, 10_000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
