@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,7 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
 
 def trim() -> None:
     """Gives memory that a task freed back to the system: Python workers live on and serve other stages."""
+    gc.collect()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
@@ -62,7 +64,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], It
                         yield pa.RecordBatch.from_pydict(out, schema=arrow)
         for out in getattr(kernel, "close", tuple)():
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
-        del kernel
+        kernel = None
         trim()
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -100,7 +102,7 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
 
         def give(rows):
             for k, v in kernel(rows).items():
-                out[k] += v
+                out[k].extend(v)
 
         for batch in (b.slice(a, CHUNK_ROWS) for b in batches for a in range(0, b.num_rows, CHUNK_ROWS)):
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
@@ -121,7 +123,7 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
         if now is not None:
             give(held)
         yield pa.RecordBatch.from_pydict(out, schema=arrow)
-        del held, out
+        kernel = held = out = None
         trim()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

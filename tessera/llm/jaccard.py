@@ -46,7 +46,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

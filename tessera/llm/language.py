@@ -30,7 +30,7 @@ from .tokens import tokenizer_path
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A character that is no piece: as likely in each language.
 UNKNOWN, SMOOTH, SETTLED = 1e-8, 0.1, 1e-3
-LINEAR, BLOCK, MEMORY = 30, 8_000, 150_000
+LINEAR, BLOCK, MEMORY = 30, 8_000, 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BITS = 18
 
@@ -256,7 +256,7 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         words = [LETTERS.findall((t or "").lower()) for t in texts]
-        if len(self.rows) > 2 * MEMORY:
+        if len(self.rows) > 1.5 * MEMORY:
             self.rows, self.logs = {}, self.logs[:0]
         self.learn(list(set(chain.from_iterable(words)) - self.rows.keys()))
         get = self.rows.__getitem__

@@ -42,7 +42,7 @@ class ChunkEncoder:
     """Encodes texts to little-endian ids of type ``dtype`` (16 bits if the vocabulary fits), as bytes; ``numbers`` gives
     them as 32 bits. At most 2 * ``generation`` chunks are remembered."""
 
-    def __init__(self, path: str, kind: str, generation: int = 500_000):
+    def __init__(self, path: str, kind: str, generation: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
