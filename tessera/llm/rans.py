@@ -29,6 +29,8 @@ from .tokens import encoder, tokenizer_path
 
 SCALE, LOW = 20, 1 << 31
 LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 128, 262_144
+#: Chunks of texts that a worker remembers: this job is nothing but tokenizing, so more than by default.
+MEMORY = 700_000
 HEAD = struct.Struct("<4sIIQIIIII")
 U8 = np.uint64
 
@@ -141,7 +143,7 @@ def tokenize(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
     rows without ids, counts: how often each id is used in a task, as (id, count) pairs of 64 bits."""
 
     def make():
-        tokens = encoder(path, kind)
+        tokens = encoder(path, kind, MEMORY)
         mark, total = bytes([tokens.dtype.itemsize]), np.zeros(1 << 16, np.int64)
 
         class Kernel:

@@ -42,7 +42,7 @@ class ChunkEncoder:
     """Encodes texts to little-endian ids of type ``dtype`` (16 bits if the vocabulary fits), as bytes; ``numbers`` gives
     them as 32 bits. At most 2 * ``generation`` chunks are remembered."""
 
-    def __init__(self, path: str, kind: str, generation: int = 400_000):
+    def __init__(self, path: str, kind: str, generation: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -137,6 +137,6 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, kind: str) -> ChunkEncoder:
+def encoder(path: str, kind: str, generation: int = 300_000) -> ChunkEncoder:
     """One encoder for all tasks that a Python worker runs, with what it remembers."""
-    return ChunkEncoder(path, kind)
+    return ChunkEncoder(path, kind, generation)
