@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bgp
+from ..operators import walks as W
 from ..sources.kg import catalog, catalog_sql
 from .registry import query
 
@@ -42,13 +43,50 @@ def _all(spark, d):
 HASH = "CAST('0x' || left(md5('7' || walk), 6) AS BIGINT)"
 
 
-@query("walk_sample", f"{ALL} SELECT entity, walk FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5('7' || walk), walk) AS r, {HASH} % 100 <= 30 AS lucky FROM w) WHERE (lucky OR r <= 1) AND r <= 1000")
+def _sample_sql(source: str, percent: str, by: str, least: int, most: int) -> str:
+    """Statements of the sampling rule over ``source``: drawn ones first, filled up to ``least``, cut after ``most``."""
+    drawn = f"SELECT *, {HASH} % 100 > {percent} AS missed FROM {source}"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY missed, md5('7' || walk), walk) AS r FROM ({drawn})"
+    return f"SELECT * FROM ({ranked}) WHERE (NOT missed OR r <= {least}) AND r <= {most}"
+
+
+@query("walk_sample", f"{ALL} SELECT entity, walk FROM ({_sample_sql('w', '30', 'entity', 1, 1000)})")
 def walk_sample(spark, d):
     """A share of each entity's walks by a hash, one at least and 1,000 at most: sampling is the operator."""
-    m = F.md5(F.concat(F.lit("7"), "walk").cast("binary"))
-    r = F.row_number().over(Window.partitionBy("entity").orderBy(m, "walk"))
-    lucky = F.conv(F.substring(m, 1, 6), 16, 10).cast("long") % 100 <= 30
-    return _all(spark, d).withColumns({"r": r, "lucky": lucky}).filter("(lucky or r <= 1) and r <= 1000").select("entity", "walk")
+    return W.sampled(_all(spark, d).withColumn("depth", F.lit(1)), (0.3,), 1).select("entity", "walk")
+
+
+def _grown_sql(depth: int) -> str:
+    """All walks over all predicates to a depth, ``w(entity, depth, walk, e)``."""
+    return f"""WITH RECURSIVE kg AS MATERIALIZED (SELECT s, p, o FROM ({catalog_sql()}) WHERE o_kind <> 'literal'),
+    w AS (SELECT s AS entity, 1 AS depth, s || '->' || p || '->' || o AS walk, o AS e FROM kg
+    UNION ALL SELECT w.entity, w.depth + 1, w.walk || '->' || kg.p || '->' || kg.o, kg.o FROM w JOIN kg ON w.e = kg.s WHERE w.depth < {depth})"""
+
+
+def _digest(walks):
+    """entity, depth, n_walks, and the md5 of the walks in order: millions of walks as one row an entity and depth."""
+    return walks.groupBy("entity", "depth").agg(F.count("*").alias("n_walks"), F.md5(F.array_join(F.array_sort(F.collect_list("walk")), " ").cast("binary")).alias("walks_md5"))
+
+
+DIGEST = "SELECT entity, depth, count(*) AS n_walks, md5(string_agg(walk, ' ' ORDER BY walk)) AS walks_md5 FROM"
+PERCENT = "(CASE depth WHEN 1 THEN 100 WHEN 2 THEN 10 WHEN 3 THEN 5 ELSE 2 END)"
+
+
+@query("walks_decreasing", f"{_grown_sql(6)} {DIGEST} ({_sample_sql('w', PERCENT, 'entity, depth', 50, 1000)}) GROUP BY 1, 2")
+def walks_decreasing(spark, d):
+    """Walks of one to six statements over every predicate, with a share that falls with the depth."""
+    return _digest(W.sampled(W.walks(catalog(spark, d), 6)))
+
+
+DIRECT = f"SELECT s AS entity, 0 AS depth, s || '->' || p || '->' || o AS walk FROM ({catalog_sql()}) WHERE o_kind <> 'literal'"
+
+
+@query("walks_random", f"""{_grown_sql(3)}, r AS (SELECT *, row_number() OVER (PARTITION BY entity, depth ORDER BY md5('7' || walk), walk) AS r FROM w WHERE depth = 3)
+    {DIGEST} (SELECT entity, depth, walk FROM r WHERE r <= 20 UNION ALL {DIRECT}) GROUP BY 1, 2""")
+def walks_random(spark, d):
+    """Twenty walks of three statements by chance for each entity, and its direct properties that are nodes as depth 0."""
+    kg = catalog(spark, d)
+    return _digest(W.picked(W.walks(kg, 3).filter("depth = 3"), 20).unionByName(W.direct(kg, literals=False)))
 
 
 @query("walk_sentences", f"{ALL} SELECT entity, string_agg(walk, ' ' ORDER BY walk) AS sentence FROM w GROUP BY 1")
