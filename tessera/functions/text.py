@@ -128,6 +128,27 @@ def word2num(s: pd.Series) -> pd.Series:
 PAIRS = (("sch", "$"), ("ei", "%"), ("ie", "&"))
 
 
+def bracketed(c: Column) -> Column:
+    """An IRI in angle brackets; brackets that are there already are not doubled."""
+    return F.concat(F.when(c.startswith("<"), "").otherwise("<"), c, F.when(c.endswith(">"), "").otherwise(">"))
+
+
+def with_offset(form: Column, offset: Column) -> Column:
+    """The key of a surface form at its place."""
+    return F.concat(form, F.lit("__;__"), offset.cast("string"))
+
+
+def span_faults(text: Column, start: Column, length: Column) -> Column:
+    """What is odd about a span of code points, as names: it begins or ends with white space, or cuts a word at its
+    front or back. Empty where nothing is; a span beyond the text has only the faults of what is there."""
+
+    def at(place: Column) -> Column:
+        return F.when(place >= 0, F.substring(text, place + 1, F.lit(1))).otherwise("")
+
+    faults = {"space_first": at(start).rlike(r"^\s$"), "letter_before": at(start - 1).rlike(r"^\p{L}$"), "space_last": at(start + length - 1).rlike(r"^\s$"), "letter_after": at(start + length).rlike(r"^\p{L}$")}
+    return F.array_compact(F.array(*[F.when(c, name) for name, c in faults.items()]))
+
+
 def german_stem_of(word: str | None) -> str | None:
     """A light German stem: umlauts folded, ß as ss, a leading ge- and inflection endings off. sch, ei and ie count as
     one letter, the second of two equal letters as one of its own. Punctuation goes but for hyphens; points and commas

@@ -167,3 +167,20 @@ def german_stem(spark, d):
 def nfkd_norm(spark, d):
     w = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     return w.select("word", T.nfkd("word").alias("norm")).filter("word <> norm")
+
+
+@query("iri_keys", """SELECT page_id, CASE WHEN starts_with(url, '<') THEN '' ELSE '<' END || url || CASE WHEN ends_with(url, '>') THEN '' ELSE '>' END AS iri,
+    regexp_extract(url, '[^/]*$') || '__;__' || CAST(page_id AS VARCHAR) AS key FROM pages""")
+def iri_keys(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", T.bracketed(F.col("url")).alias("iri"), T.with_offset(F.regexp_extract("url", "[^/]*$", 0), F.col("page_id")).alias("key"))
+
+
+@query("span_faults", """WITH s AS (SELECT doc_id, text, CAST(doc_id % 50 AS INTEGER) AS b, CAST(1 + doc_id % 20 AS INTEGER) AS n FROM documents),
+    c AS (SELECT doc_id, substring(text, b + 1, 1) AS first, CASE WHEN b > 0 THEN substring(text, b, 1) ELSE '' END AS before, substring(text, b + n, 1) AS last, substring(text, b + n + 1, 1) AS after FROM s)
+    SELECT doc_id, concat_ws(' ', CASE WHEN regexp_matches(first, '^\\s$') THEN 'space_first' END, CASE WHEN regexp_matches(before, '^\\pL$') THEN 'letter_before' END,
+    CASE WHEN regexp_matches(last, '^\\s$') THEN 'space_last' END, CASE WHEN regexp_matches(after, '^\\pL$') THEN 'letter_after' END) AS faults FROM c""")
+def span_faults(spark, d):
+    """The faults of one span in every document, placed by its id."""
+    start, length = (F.col("doc_id") % 50).cast("int"), (1 + F.col("doc_id") % 20).cast("int")
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.span_faults(F.col("text"), start, length), " ").alias("faults"))

@@ -118,3 +118,21 @@ def result_table(spark: SparkSession, path: str) -> DataFrame:
 def property_of(spark: SparkSession, path: str, key: str) -> str | None:
     row = spark.read.text(path).filter(F.col("value").startswith(f"{key}=")).select(F.substring("value", len(key) + 2, 1 << 20).alias("v")).first()
     return row["v"] if row else None
+
+
+RESOURCE = "`@URI` string, `@support` string, `@types` string, `@surfaceForm` string, `@offset` string, `@similarityScore` string, `@percentageOfSecondRank` string"
+
+
+def annotations(answers: DataFrame) -> DataFrame:
+    """doc_id, uri, sf, offset, score: the resources of annotation answers (doc_id, json), of each IRI the last one.
+    An answer that is null, no JSON or without resources gives no row."""
+    found = answers.select("doc_id", F.posexplode(F.from_json("json", f"Resources array<struct<{RESOURCE}>>")["Resources"]).alias("i", "r"))
+    last = found.groupBy("doc_id", F.col("r.`@URI`").alias("uri")).agg(F.max_by("r", "i").alias("r"))
+    return last.select("doc_id", "uri", F.col("r.`@surfaceForm`").alias("sf"), F.col("r.`@offset`").cast("int").alias("offset"), F.col("r.`@similarityScore`").cast("double").alias("score"))
+
+
+def offline_pages(spark: SparkSession, path: str, mapping: DataFrame) -> DataFrame:
+    """url, html: files below a folder, whole, with the url that mapping (file, url) gives their name; a file of several
+    urls gives a row for each, one without url none."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("html"))
+    return files.join(mapping.select("file", "url"), "file").select("url", "html")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import embed as E
 from tessera.operators import graph as G
+from tessera.operators import walks as K
 from tessera.operators import windows as N
 from tessera.sources import readers as R
 from tessera.sources import writers as W
@@ -90,3 +91,30 @@ def test_stream_link(spark, tmp_path):
     batch = link.linked(spark.read.parquet(f"{SF}/documents.parquet"), d)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == batch.count() > 0 and got.exceptAll(batch).isEmpty()
+
+
+def test_annotations_and_offline_pages(spark, tmp_path):
+    one = '{"Resources": [{"@URI": "u", "@surfaceForm": "a", "@offset": "3", "@similarityScore": "0.5"}, {"@URI": "u", "@surfaceForm": "b", "@offset": "9", "@similarityScore": "1"}]}'
+    a = R.annotations(spark.createDataFrame([(1, one), (2, "{}"), (3, None), (4, "no json")], "doc_id long, json string"))
+    assert [tuple(r) for r in a.collect()] == [(1, "u", "b", 9, 1.0)]
+    (tmp_path / "x.html").write_text("<p>a\nb</p>")
+    (tmp_path / "y.html").write_text("y")
+    p = R.offline_pages(spark, str(tmp_path), spark.createDataFrame([("x.html", "http://x/")], "file string, url string"))
+    assert [tuple(r) for r in p.collect()] == [("http://x/", "<p>a\nb</p>")]
+
+
+def test_span_faults(spark):
+    d = spark.createDataFrame([("ab cd", 0, 2), ("ab cd", 1, 2), ("ab cd", 2, 2), ("", 0, 3), (None, 0, 1), ("é😀 x", 1, 1)], "t string, s int, n int")
+    got = [r[0] for r in d.select(T.span_faults(F.col("t"), F.col("s"), F.col("n"))).collect()]
+    assert got == [[], ["letter_before", "space_last", "letter_after"], ["space_first", "letter_before", "letter_after"], [], [], ["letter_before"]]
+
+
+def test_walks_by_share(spark):
+    """A hub of 300 neighbours that each have one more: shares, the least and the most hold for each entity and depth."""
+    t = spark.createDataFrame([("h", "p", f"n{i}", "uri") for i in range(300)] + [(f"n{i}", "q", "e", "uri") for i in range(300)] + [("h", "label", "a->b\tc", "literal")], "s string, p string, o string, o_kind string")
+    w = K.walks(t, 6).persist()
+    assert {(r["depth"], r["count"]) for r in w.groupBy("depth").count().collect()} == {(1, 600), (2, 300)}
+    hub = K.sampled(w, (1.0, 0.1), least=50, most=200).filter("entity = 'h'").groupBy("depth").count()
+    assert {(r["depth"], r["count"]) for r in hub.collect()} == {(1, 200), (2, 50)}
+    assert K.sampled(w, (1.0, 0.1), least=0).filter("depth = 2").count() in range(10, 60) and K.picked(w, 7).filter("entity = 'h'").count() == 14
+    assert [r["walk"] for r in K.direct(t).filter("walk like '%label%'").collect()] == ["h->label->ab c"] and K.direct(t, literals=False).count() == 600
