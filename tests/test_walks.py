@@ -52,7 +52,7 @@ def test_nulls(spark):
     assert got == {("a", 1): 2, ("b", 1): 2, ("a", 2): 1}
 
 
-@pytest.mark.parametrize("name", ["walks_decreasing"])
+@pytest.mark.parametrize("name", ["walks_random", "walks_decreasing"])
 def test_no_walk_is_written(spark, monkeypatch, name):
     def written(*_):
         raise AssertionError("all walks are written")
