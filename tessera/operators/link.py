@@ -10,10 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stored
 from . import detect as D
 from .windows import windows
 
 
+#: Groups of documents that the joint choice is made in, one document after the other.
+GROUPS = 2_048
+#: Words of forms that are sent to the workers, at most.
+KNOWN = 200_000
+
+
 def with_fallback(left: DataFrame, key: str, right: DataFrame, value: str) -> DataFrame:
     """left with right's value (right: key, value): by the key, else by its percent-decoded form, else null."""
     own = right.select(F.col("key").alias("_a"), F.col(value).alias("_va"))
@@ -33,8 +40,10 @@ def with_rank(candidates: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def detected(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """doc_id, offset, text, sf of each window (of one and two segments) whose words of three letters or more, without
-    stop words, are a surface form, as they are or in lower case."""
-    w = windows(docs, "bounded").withColumn("key", T.key(F.col("text"))).filter("key <> ''")
+    stop words, are a surface form, as they are or in lower case. While the forms are few, windows without any of their
+    words are dropped where they are cut: a window's key consists of the words of its form."""
+    forms = dictionary.select(F.explode(F.split(F.lower("sf"), " ")).alias("w")).distinct().limit(KNOWN + 1).collect()
+    w = windows(docs, "bounded", known=None if len(forms) > KNOWN else [r["w"] for r in forms]).withColumn("key", T.key(F.col("text"))).filter("key <> ''")
     return D.detect(w, dictionary, "key").select("doc_id", "offset", "text", "sf")
 
 
@@ -43,16 +52,12 @@ def collective(candidates: DataFrame) -> DataFrame:
     candidate votes, with its similarity, for its best partner in each other form and for itself; the best one of each
     form with a positive sum is chosen. A document's candidates are its forms' alone, and are compared in blocks."""
 
-    def kernel(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["sf", "entity"])
-        doc, forms = pdf["doc_id"].iloc[0], pdf["sf"].to_numpy()
-        size = max((len(v) for v in pdf["vec"] if v is not None), default=1)
-        v = np.array([x if x is not None else np.zeros(size) for x in pdf["vec"]], float)
+    def choose(forms, entities, vecs):
+        size = max((len(v) for v in vecs if v is not None), default=1)
+        v = np.array([x if x is not None else np.zeros(size) for x in vecs], float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        first = np.flatnonzero(np.concatenate([[True], forms[1:] != forms[:-1]]))
-        form = np.cumsum(np.concatenate([[True], forms[1:] != forms[:-1]])) - 1
+        new = np.concatenate([[True], forms[1:] != forms[:-1]])
+        first, form = np.flatnonzero(new), np.cumsum(new) - 1
         votes = np.zeros(len(v))
         ends = np.concatenate([first[1:], [len(v)]])
         for a in range(0, len(v), 2_000):
@@ -63,14 +68,25 @@ def collective(candidates: DataFrame) -> DataFrame:
             for k, (i, j) in enumerate(zip(first, ends)):
                 who = np.flatnonzero(form[a : a + 2_000] != k)
                 np.add.at(votes, i + np.argmax(sims[who, i:j], axis=1), best[who, k])
-        chosen = []
-        for i, j in zip(first, ends):
-            k = i + int(np.argmax(votes[i:j].round(6)))
-            if votes[k].round(6) > 0:
-                chosen.append(pdf["entity"].iloc[k])
-        return pd.DataFrame({"doc_id": [doc] * len(chosen), "entity": pd.Series(chosen, dtype=object)})
+        votes = votes.round(6)
+        best = [i + int(np.argmax(votes[i:j])) for i, j in zip(first, ends)]
+        return [entities[k] for k in best if votes[k] > 0]
+
+    def kernel(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["doc_id", "sf", "entity"])
+        doc, forms, entities, vecs = (pdf[c].to_numpy() for c in ("doc_id", "sf", "entity", "vec"))
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        docs, chosen = [], []
+        for i, j in zip(starts, [*starts[1:], len(doc)]):
+            got = choose(forms[i:j], entities[i:j], vecs[i:j])
+            docs += [doc[i]] * len(got)
+            chosen += got
+        return pd.DataFrame({"doc_id": docs, "entity": pd.Series(chosen, dtype=object)})
 
-    return candidates.select("doc_id", "sf", "entity", "vec").groupBy("doc_id").applyInPandas(kernel, "doc_id long, entity string").distinct()
+    d = candidates.select("doc_id", "sf", "entity", "vec").filter("doc_id is not null")
+    return d.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS)).alias("g")).applyInPandas(kernel, "doc_id long, entity string").distinct()
 
 
 class Scorer(Protocol):
@@ -111,8 +127,8 @@ def pruned(choices: DataFrame, theta: float = 1.0, weight: float = 10.0) -> Data
 def link(docs: DataFrame, dictionary: DataFrame, ranks: DataFrame, vectors: DataFrame, theta: float = 1.0) -> DataFrame:
     """doc_id, offset, text, sf, entity, score of every mention that is linked. dictionary: sf, entity; ranks: id, pr;
     vectors: key, vec. Each form of a document is scored once, and the result copied to all of its mentions."""
-    mentions = detected(docs, dictionary)
-    links = with_rank(dictionary.select("sf", "entity").distinct(), ranks)
+    links = stored(with_rank(dictionary.select("sf", "entity").distinct(), ranks))
+    mentions = stored(detected(docs, links))  # read four times below
     missing = mentions.join(D.at_hand(links.select("sf").distinct()), "sf", "left_anti")
     forms = mentions.select("doc_id", "sf").distinct()
     cand = forms.join(D.at_hand(with_fallback(links, "entity", vectors, "vec")), "sf")

@@ -8,7 +8,7 @@ column expressions can't give in linear time, so the windows come from a kernel
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,13 +61,31 @@ def unbounded(text: str, words: int = 1) -> Iterator[tuple[int, str]]:
 MODES = {"single": single, "bounded": bounded, "unbounded": unbounded, "multiword": lambda text: unbounded(text, 2)}
 
 
-def windows(docs: DataFrame, mode: str = "bounded", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, offset (code points), text of every window; a null text has none."""
+class Known(dict):
+    """Whether a word may be, in lower case, one of the given ones; remembered. Python and the JVM agree on the lower case
+    of Latin letters; any other word may be."""
+
+    def __init__(self, words: frozenset[str]):
+        self.words = words
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        low = word.lower()
+        self[word] = low in self.words or any(c > "\u024f" or c == "\u0130" for c in word)
+        return self[word]
+
+
+def windows(docs: DataFrame, mode: str = "bounded", key: str = "doc_id", text: str = "text", known: Iterable[str] | None = None) -> DataFrame:
+    """key, offset (code points), text of every window; a null text has none. ``known``: words in lower case; windows
+    that have none of them, in any case, are left out as soon as they are cut."""
     cut = MODES[mode]
     ship(docs.sparkSession)
+    words = None if known is None else docs.sparkSession.sparkContext.broadcast(frozenset(known))
     of = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = None if words is None else Known(words.value).__getitem__
         for batch in batches:
             keys, kind = batch.column(0).to_pylist(), batch.schema.field(0).type
             schema = pa.schema([(key, kind), ("offset", pa.int32()), ("text", pa.string())])
@@ -78,6 +96,8 @@ def windows(docs: DataFrame, mode: str = "bounded", key: str = "doc_id", text: s
 
             for k, t in zip(keys, batch.column(1)):
                 for at, window in cut(t.as_py() or ""):
+                    if may is not None and not any(map(may, SEPARATOR.split(window))):
+                        continue
                     out[0].append(k)
                     out[1].append(at)
                     out[2].append(window)
