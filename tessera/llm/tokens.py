@@ -86,7 +86,7 @@ class ChunkEncoder:
         if len(self.young) > self.generation:
             self.old, self.young = self.young, {}
         old, young, new = self.old, self.young, []
-        for c in chunks - young.keys():
+        for c in [c for c in chunks if c not in young]:  # a difference of keys would go through all that is remembered
             if (ids := old.get(c)) is None:
                 new.append(c)
             else:
