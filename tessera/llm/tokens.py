@@ -1,7 +1,9 @@
 """Token ids of whole texts by public tokenizers, with a bounded memory of chunks that were met before.
 
 Both tokenizers split a text before merging, and never merge across the cuts made here, so the ids of a text are
-the concatenated ids of its chunks. Latin-1 texts are cut just as the tokenizers do it, others at white space.
+the concatenated ids of its chunks. Latin-1 texts are cut just as the tokenizers do it, others at white space. For
+the word tokenizer the Latin-1 texts of a group are cut as arrays of bytes, and a chunk that is met often in the group
+becomes a Python object once.
 Texts with white space outside ASCII's four usual characters, or with a ``<|``, go to the tokenizer whole, so that
 the names of special tokens in a text become what the library makes of them (their ids).
 """
@@ -10,10 +12,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 #: White space that the chunk patterns don't cover, and the start of special tokens' names.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\\|")
@@ -29,6 +34,26 @@ LATIN_WORD = re.compile(rf"{ENDS}|[{SMALL}]+|[{DIGITS}]|[^\s{SMALL}{DIGITS}]+")
 RARE_BYTES = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 #: By kind of tokenizer: how Latin-1 texts and how others are cut, and what stands between chunks that are encoded together.
 KINDS = {"byte": (LATIN_BYTE, BYTE_CHUNK, "\n"), "word": (LATIN_WORD, WORD_CHUNK, " ~ ")}
+#: For Latin-1 bytes: their lower case, and the classes whose runs LATIN_WORD's chunks are (of digits, each one).
+LOWER = bytes(ord(chr(b).lower()) for b in range(256))
+SPACE, LETTER, DIGIT, OTHER = range(4)
+CLASSES = bytes(SPACE if c.isspace() else LETTER if re.match(f"[{SMALL}]", c) else DIGIT if re.match(f"[{DIGITS}]", c) else OTHER for c in map(chr, range(256)))
+
+
+def word_cuts(data: bytes) -> np.ndarray:
+    """Where the chunks of LATIN_WORD, and the runs of white space between them, begin and end in lower-case Latin-1
+    text. The text ends with two characters of white space."""
+    kind, raw = np.frombuffer(data.translate(CLASSES), np.uint8), np.frombuffer(data, np.uint8)
+    edge = np.ones(len(raw) + 1, bool)
+    edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    at = np.flatnonzero(raw[:-2] == ord("'"))
+    at = at[edge[at]]  # within a run, an apostrophe begins no ending
+    a, b = raw[at + 1], raw[at + 2]
+    short = at[np.isin(a, np.frombuffer(b"stmd", np.uint8))]
+    long = at[np.isin(a, np.frombuffer(b"rv", np.uint8)) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))]
+    edge[short + 1] = edge[long + 1] = False
+    edge[short + 2] = edge[long + 3] = True
+    return np.flatnonzero(edge).astype(np.int32)
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,7 +107,23 @@ class ChunkEncoder:
         at = [0, *((at + 1) * w).tolist()] if self.lower else [*(at * w).tolist(), len(data)]
         return [data[a:b] for a, b in zip(at, at[1:])]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _words(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of Latin-1 texts by the word tokenizer: all are cut at once, and each different chunk is looked up once."""
+        data = b"\n".join(raw).translate(LOWER) + b"\n\n"
+        cuts = word_cuts(data)
+        chunks = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        different = pa.ListArray.from_arrays(pa.array([0, len(chunks.dictionary)], pa.int32()), chunks.dictionary)
+        names = pa.compute.binary_join(different, b"\x1c")[0].as_py().decode("latin-1").split("\x1c")  # a rare character, in no chunk
+        known = list(map(self.young.get, names))
+        self._learn([c for c, ids in zip(names, known) if ids is None])
+        ids = pa.array([self.young[c] if x is None else x for c, x in zip(names, known)], pa.binary()).take(chunks.indices)
+        _, places, out = ids.buffers()
+        ends = np.searchsorted(cuts, np.cumsum([len(x) + 1 for x in raw]) - 1)  # the white space behind a text has no ids
+        at = [0, *np.frombuffer(places, np.int32, len(ids) + 1)[ends].tolist()]
+        out = out.to_pybytes() if out else b""
+        return [out[a:b] for a, b in zip(at, at[1:])]
+
+    def _learn(self, chunks: Iterable[str]) -> None:
         if len(self.young) > self.generation:
             self.old, self.young = self.young, {}
         old, young, new = self.old, self.young, []
@@ -115,8 +156,8 @@ class ChunkEncoder:
             out[n] = end
         return out
 
-    def chunks(self, text: str | None) -> list[str] | None:
-        """The chunks of a text; None if it is empty or goes whole."""
+    def chunks(self, text: str | None) -> list[str] | bytes | None:
+        """The chunks of a text, or its bytes if ``_words`` cuts it; None if it is empty or goes whole."""
         if not text:
             return None
         try:
@@ -125,15 +166,17 @@ class ChunkEncoder:
             return None if RARE.search(text) else self.cut.findall(text)
         if b"<|" in raw or len(raw.translate(None, RARE_BYTES)) != len(raw):
             return None
-        return self.latin.findall(text.lower() if self.lower else text)
+        return raw if self.lower else self.latin.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self.chunks(t) for t in texts]
         whole = [t for t, c in zip(texts, cuts) if c is None and t]
         whole_ids = iter(self._plain(whole) if whole else ())
-        self._learn(set(chain.from_iterable(c for c in cuts if c is not None)))
+        raw = [c for c in cuts if isinstance(c, bytes)]
+        raw_ids = iter(self._words(raw) if raw else ())
+        self._learn(set(chain.from_iterable(c for c in cuts if isinstance(c, list))))
         get = self.young.__getitem__
-        return [b"".join(map(get, c)) if c is not None else next(whole_ids) if t else b"" for t, c in zip(texts, cuts)]
+        return [b"".join(map(get, c)) if isinstance(c, list) else next(raw_ids) if c else next(whole_ids) if t else b"" for t, c in zip(texts, cuts)]
 
 
 @lru_cache(maxsize=2)
