@@ -41,6 +41,8 @@ from .common import map_batches, map_groups, stored, with_only
 
 #: A tag; quotes count only after an equals sign, and one that is never closed doesn't count.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+#: Where markup begins; any other sign is text.
+MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose contents are no markup, and are skipped.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp")}
@@ -134,9 +136,11 @@ def parse(html: str) -> tuple[Tree, list[tuple[int, str, int]]]:
 
     def shut(k: int):
         """Ends all open elements from the k-th on."""
-        if any(e[0] not in INLINE for e in stack[k:]):
+        ended = [e[0] for e in stack[k:]]
+        if not INLINE.issuperset(ended):
             flush()
-        opened.subtract(e[0] for e in stack[k:])
+        for t in ended:
+            opened[t] -= 1
         del stack[k:]
 
     def say(a: int, b: int):
@@ -147,11 +151,10 @@ def parse(html: str) -> tuple[Tree, list[tuple[int, str, int]]]:
                 link += len(html[a:b].strip())
 
     while True:
-        less = html.find("<", at)
-        while less >= 0 and not (html[less + 1 : less + 2].isalpha() and html[less + 1].isascii() or html[less + 1 : less + 2] in ("/", "!", "?")):
-            less = html.find("<", less + 1)  # a lone sign is text
-        say(at, less if less >= 0 else len(html))
-        if less < 0:
+        m = MARKUP.search(html, at)
+        less = m.start() if m else len(html)
+        say(at, less)
+        if not m:
             break
         if html.startswith("<!--", less):
             end = html.find("-->", less + 4)
@@ -196,7 +199,7 @@ def parse(html: str) -> tuple[Tree, list[tuple[int, str, int]]]:
             if not skip:
                 skip = furniture(tag, names, inside)
                 if not skip and tag not in VOID:
-                    label = ".".join((tag, *classes))
+                    label = ".".join((tag, *classes)) if classes else tag
                     if label not in kids[node]:
                         kids[node][label] = len(labels)
                         labels.append(label)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import time
 import zlib
 from collections import Counter
@@ -446,6 +447,24 @@ def test_hard_pages():
         assert time.perf_counter() - began < 3
 
 
+def test_hard_pages_take_few_calls():
+    def calls(html):
+        n = 0
+
+        def count(*_):
+            nonlocal n
+            n += 1
+
+        sys.setprofile(count)
+        try:
+            wrappers.parse(html)
+        finally:
+            sys.setprofile(None)
+        return n
+
+    assert calls("<" * 10_000) < 1_000 and calls("<p>" * 10_000) < 40 * 10_000
+
+
 def test_tree_matching_by_brute_force():
     rng = random.Random(7)
 
