@@ -167,6 +167,37 @@ def test_all_letter_pieces_are_known():
         assert p.pieces.index(w) in x.piece[(x.source == x.first[0]) & (x.target == x.last[0])]
 
 
+def test_only_beginnings_of_pieces_are_looked_up(monkeypatch):
+    p, looked, find = language.Pieces(tokens.tokenizer_path("piece_bpe_32k.model")), [], language.Pieces.find
+    monkeypatch.setattr(language.Pieces, "find", lambda self, h: (looked.append(len(h)), find(self, h))[1])
+    words = ["▁international", "▁no", "▁xqzjxqzjxqzj", "▁zürichs", "▁" + "ж" * 30, "▁𝒳é"]
+    begins = {x[:k] for x in p.pieces for k in range(1, len(x))}
+    p.lattice(words)
+    assert sum(looked) == sum(n == 1 or w[i : i + n - 1] in begins for w in words for i in range(len(w)) for n in range(1, len(w) - i + 1))
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(3)
+    latin = [None, "", "a", "\n", "\na\n", "Straße\x85x\xa0y_z9ª²", "ÀÉ\x00b", "_", "9"]
+    wide = ["İstanbul ΑΣ", "ΑΣ", "Σ", "𝒳y 中文٣x", "\ud800a", "e\u0301 ß", *("".join(rng.choice(" \n_9aBçÀİΣσж中𝒳٣\u0301\u2028ǅ") for _ in range(rng.randint(0, 20))) for _ in range(500))]
+    for texts in ([], latin, wide, latin + wide, [None, None]):
+        words, at = language.words_of(texts)
+        assert [words[a:b] for a, b in zip(at, at[1:])] == [language.LETTERS.findall((t or "").lower()) for t in texts] and at[-1] == len(words)
+
+
+def test_texts_score_alike_in_any_company():
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    p = np.random.default_rng(1).random((3, language.pieces_of(path).n))
+    texts = ["the other thing", None, "x" * 40 + " the ζωή", "9", "internationally no the the", "the"]
+    together = language.Scorer(path, p).texts(texts)
+    for t, s in zip(texts, together):
+        alone = language.Scorer(path, p).texts([t])[0]
+        assert (s is None and alone is None) or np.allclose(s, alone, rtol=1e-12)
+    s = language.Scorer(path, p)
+    s.texts(["the no"])
+    assert all(a is b is None or np.allclose(a, b, rtol=1e-12) for a, b in zip(s.texts(texts), together))
+
+
 def test_expectation_steps_raise_the_likelihood():
     p = language.Pieces(tokens.tokenizer_path("piece_bpe_32k.model"))
     words, counts = ["the", "there", "other", "internationally", "x" * 400], [50, 7, 9, 2, 1]
