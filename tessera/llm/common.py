@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +30,34 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+#: What ``remembered`` keeps in this process, and the module whose tasks it serves.
+_memories: list = []
+_serves: list[str] = []
+
+
+def remembered(maxsize: int = 1):
+    """lru_cache for what a Python worker keeps from task to task, until a task of another operator begins."""
+
+    def keep(f):
+        _memories.append(lru_cache(maxsize=maxsize)(f))
+        return _memories[-1]
+
+    return keep
+
+
+def begin(owner: str) -> None:
+    """A task of the module ``owner`` begins in this worker: what others remember goes."""
+    if _serves != [owner]:
+        for f in _memories:
+            f.cache_clear()
+        _serves[:] = [owner]
+        trim()
+
+
 def trim() -> None:
     """Gives memory that a task freed back to the system: Python workers live on and serve other stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()  # Arrow's own allocator, which malloc_trim does not reach
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
@@ -41,10 +67,11 @@ def trim() -> None:
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterable[dict[str, list]]]], schema: str, text: str | None = "text") -> DataFrame:
     """mapInArrow over column lists. ``make`` runs once a task and returns the kernel; the kernel gets columns of
     about CHUNK_CHARS characters of ``text`` at a time and yields columns for ``schema``."""
-    names = df.columns
+    names, owner = df.columns, make.__module__
     arrow = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         kernel = make()
         for batch in batches:
             cuts, size = [0], 0
@@ -95,9 +122,10 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
     from pyspark.sql.types import _parse_datatype_string
 
     ship(df.sparkSession)
-    arrow, names = to_arrow_schema(_parse_datatype_string(schema)), df.columns
+    arrow, names, owner = to_arrow_schema(_parse_datatype_string(schema)), df.columns, make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         kernel, held, now, out = make(), {n: [] for n in names}, None, {n: [] for n in arrow.names}
 
         def give(rows):

@@ -24,13 +24,11 @@ out.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, map_groups, stored, with_only
+from .common import discard, map_batches, map_groups, remembered, stored, with_only
 
 WORDS, PERCENT = 5, 80
 #: Most shared shingles that are asked for; documents in a block; known frequent shingles (only the order depends on them).
@@ -52,7 +50,7 @@ class Hashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
+@remembered()
 def _hashes() -> Hashes:
     return Hashes()
 

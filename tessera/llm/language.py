@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import cached_property, lru_cache
+from functools import cached_property
 from itertools import groupby, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, held_out, map_batches, stored, with_only
+from .common import CHUNK_CHARS, held_out, map_batches, remembered, stored, with_only
 from .tokens import tokenizer_path
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -35,7 +35,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BITS = 18
 
 
-@lru_cache(maxsize=1)
+@remembered()
 def letters() -> np.ndarray:
     """Whether LETTERS takes a character, by its code."""
     out = np.zeros(0x110000, bool)
@@ -144,7 +144,7 @@ class Pieces:
         return Lattice(first, last, of, place_at, edges)
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def pieces_of(path: str) -> Pieces:
     """One table for all tasks that a Python worker runs."""
     return Pieces(path)

@@ -18,6 +18,7 @@ are left out.
 
 from __future__ import annotations
 
+import pickle
 import random
 import zlib
 from bisect import bisect_left, insort
@@ -209,22 +210,29 @@ def solve(spark, counts: dict[int, int], capacity: int = CAPACITY, islands: int
     epoch = idle = 0
     while sum(best.values()) > bound and idle < patience:
         elites = [p[0] for p in populations if p]
-        work = [(i, populations[i], elites[i - 1 : i] or elites[-1:]) for i in range(islands)]
-
-        def run(rows, epoch=epoch):
-            for i, population, guests in rows:
-                rng = random.Random(seed * 1009 + epoch * 101 + i)
-                population = [*guests, *population][:POPULATION]
-                while len(population) < POPULATION:
-                    order = sorted(counts, reverse=True)
-                    if i or population:  # others than the first start from disturbed orders
-                        order.sort(key=lambda s: -s * rng.uniform(0.97, 1.0))
-                    population.append(best_fit(counts, capacity, None, order))
-                population.sort(key=lambda x: fitness(x, capacity), reverse=True)
-                yield i, evolve(population, counts, capacity, GENERATIONS, rng, bound)
-
-        for i, population in spark.sparkContext.parallelize(work, islands).mapPartitions(run).collect():
-            populations[i] = population
+        work = spark.sparkContext.broadcast([(populations[i], elites[i - 1 : i] or elites[-1:]) for i in range(islands)])
+
+        def make(work=work, epoch=epoch):
+            def kernel(c):
+                for i in c["island"]:
+                    population, guests = work.value[i]
+                    rng = random.Random(seed * 1009 + epoch * 101 + i)
+                    population = [*guests, *population][:POPULATION]
+                    while len(population) < POPULATION:
+                        order = sorted(counts, reverse=True)
+                        if i or population:  # others than the first start from disturbed orders
+                            order.sort(key=lambda s: -s * rng.uniform(0.97, 1.0))
+                        population.append(best_fit(counts, capacity, None, order))
+                    population.sort(key=lambda x: fitness(x, capacity), reverse=True)
+                    yield {"island": [i], "population": [pickle.dumps(evolve(population, counts, capacity, GENERATIONS, rng, bound))]}
+
+            return kernel
+
+        # Not an RDD of Python objects: its tasks would need Python workers of their own beside those of DataFrames.
+        tasks = spark.range(0, islands, 1, islands).toDF("island")
+        for i, population in map_batches(tasks, make, "island long, population binary", text=None).collect():
+            populations[i] = pickle.loads(population)
+        work.unpersist()
         found = max((p[0] for p in populations), key=lambda x: fitness(x, capacity))
         idle = 0 if sum(found.values()) < sum(best.values()) else idle + 1
         best, epoch = max(found, best, key=lambda x: fitness(x, capacity)), epoch + 1

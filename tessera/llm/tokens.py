@@ -13,13 +13,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
+from .common import remembered
+
 #: White space that the chunk patterns don't cover, and the start of special tokens' names.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\\|")
 BYTE_CHUNK = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?=[ \t\n\r][^ \t\n\r])|[ \t\n\r]+")
@@ -179,7 +180,7 @@ class ChunkEncoder:
         return [b"".join(map(get, c)) if isinstance(c, list) else next(raw_ids) if c else next(whole_ids) if t else b"" for t, c in zip(texts, cuts)]
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def encoder(path: str, kind: str, generation: int = 300_000) -> ChunkEncoder:
     """One encoder for all tasks that a Python worker runs, with what it remembers."""
     return ChunkEncoder(path, kind, generation)
